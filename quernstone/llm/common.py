@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a narrow table (ids, or ids with a few numbers: tens of bytes a row) that may be broadcast.
+BROADCAST_ROWS = 400_000
+
 _own_dir: list[str] = []
 _shipped: set[str] = set()
 
@@ -51,15 +55,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage durably: a lost executor costs a re-read, not a recompute,
-    and iterative plans stay short.
+    and iterative plans stay short. tidy: the shuffle files of the plans that
+    are done may go now. Spark deletes them once the driver's JVM has collected
+    the plans, which by itself may be half an hour later.
     """
-    path = f"{scratch_dir(df.sparkSession)}/quernstone/{name}-{uuid.uuid4().hex}"
+    spark, schema = df.sparkSession, df.schema
+    path = f"{scratch_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if tidy:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; beyond that the join shuffles. For narrow tables in the shared folder."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def rehash(c: Column | str) -> Column:

@@ -10,10 +10,10 @@ Plan:
 1. word counts of the whole corpus, hashed into a fixed table, order words by rarity;
 2. equal sets collapse to their first occurrence by a partial aggregation;
 3. each set posts its prefix, the ``n - ceil(t n) + 1`` rarest words, and
-   postings are dealt out by word. A task walks a word's postings in order and
-   gives each line its earliest candidates that pass the length, positional and
-   bitmap filters (parity bitmaps: their Hamming distance bounds the symmetric
-   difference from below);
+   postings are dealt out by word, packed as arrays. A task takes a word's
+   postings by length and gives each line its earliest candidates that pass the
+   length, positional and bitmap filters (parity bitmaps: their Hamming distance
+   bounds the symmetric difference from below);
 4. candidates are verified on full sets. A line that stays unresolved though
    it had more candidates gets all of them in a second round. So a group of
    thousands of near copies costs a candidate or two each, and no match is lost.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, materialise, rehash, utf8
+from .common import chunks, materialise, rehash, small_enough, utf8
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,8 @@ class Params:
     min_words: int = 4
     counters: int = 1 << 17
     first: int = 2  # candidates a posting gets in the first round
+    bucket: int = 60_000  # postings of a task's array, about
+    keys: int = 1_000_000  # of the second round that are broadcast at once
 
 
 @dataclass
@@ -55,8 +57,8 @@ class Lines:
         return np.diff(self.first)
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None, p: Params) -> Lines:
-    """Sets of at least ``min_words`` words. A key is 5 bits of the word's log2 count above 59 bits of its hash, so keys sort by rarity."""
+def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None, p: Params) -> tuple[Lines, ts.Words]:
+    """The words, and the sets of lines of at least ``min_words`` words. A key is 5 bits of the word's log2 count above 59 bits of its hash, so keys sort by rarity."""
     w = ts.words(data, offsets)
     row = w.row
     breaks = np.flatnonzero(data == 10)
@@ -73,7 +75,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None,
     if not ok.all():
         keys = keys[np.repeat(ok, n)]
         first = np.concatenate([[0], np.cumsum(n[ok])])
-    return Lines(row[start][ok], line[start][ok], keys, first)
+    return Lines(row[start][ok], line[start][ok], keys, first), w
 
 
 def _texts(batch: pa.RecordBatch, limit: int = 1 << 20):
@@ -87,41 +89,57 @@ def _row_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]).view(np.int64)
 
 
-def rarity(docs: DataFrame, p: Params) -> np.ndarray:
-    """5-bit log2 counts, in the top bits, of a fixed table of word counters over all texts."""
+def _survey(p: Params):
+    """One scan for two results: every line's set (fp1, fp2) with its place, and, once a task, its word counters (i, c)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(p.counters, np.int64)
         for batch in batches:
-            for _, _, data, offsets in _texts(batch):
-                total += np.bincount((ts.words(data, offsets).hashes & np.uint64(p.counters - 1)).astype(np.int64), minlength=p.counters)
+            doc = batch.column("doc").to_numpy(zero_copy_only=False)
+            known = np.asarray(batch.column("doc").is_valid())
+            for lo, _, data, offsets in _texts(batch):
+                x, w = line_sets(data, offsets, None, p)
+                total += np.bincount((w.hashes & np.uint64(p.counters - 1)).astype(np.int64), minlength=p.counters)
+                fp = [_row_sum(ts.mix(x.keys ^ np.uint64(salt)), x.first) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+                ok = known[lo + x.row]
+                place = [pa.array(fp[0][ok]), pa.array(fp[1][ok]), pa.array(doc[lo + x.row[ok]].astype(np.int64)), pa.array(x.line[ok], pa.int32())]
+                none = pa.nulls(int(ok.sum()))
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), *place], names=_SURVEY)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["i", "c"])
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some]), none, none, none, none.cast(pa.int32())], names=_SURVEY)
 
-    rows = docs.select("text").mapInArrow(count, "i int, c long").groupBy("i").agg(F.sum("c").alias("c")).toArrow()  # p.counters rows at most
-    total = np.zeros(p.counters, np.float64)
-    total[rows.column("i").to_numpy()] = rows.column("c").to_numpy()
-    return np.minimum(np.log2(total + 1), 31).astype(np.uint64) << np.uint64(59)
+    return run
 
 
-def _occurrences(p: Params):
-    def run(batches):
-        for batch in batches:
-            doc = batch.column("doc").to_numpy()
-            for lo, _, data, offsets in _texts(batch):
-                x = line_sets(data, offsets, None, p)
-                prints = [_row_sum(ts.mix(x.keys ^ np.uint64(s)), x.first) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                yield pa.RecordBatch.from_arrays([pa.array(prints[0]), pa.array(prints[1]), pa.array(doc[lo + x.row]), pa.array(x.line, pa.int32())], names=["fp1", "fp2", "doc", "line"])
+_SURVEY = ["i", "c", "fp1", "fp2", "doc", "line"]
 
-    return run
+
+def _table(survey: DataFrame, p: Params) -> np.ndarray:
+    """Word counts of all texts, by hash."""
+    rows = survey.where("i is not null").groupBy("i").agg(F.sum("c").alias("c")).toArrow()  # p.counters rows at most
+    total = np.zeros(p.counters, np.int64)
+    total[rows.column("i").to_numpy()] = rows.column("c").to_numpy()
+    return total
+
+
+POSTING = np.dtype([("key", "u8"), ("fp", "i8"), ("bits", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "i4"), ("pos", "i4")])
+_PACKED = "bucket int, kind int, packed binary"
 
 
-_POSTING = "key long, doc long, line int, fp long, bits long, n int, pos int"
-_NAMES = ["key", "doc", "line", "fp", "bits", "n", "pos"]
+def _pack(rows: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
+    """Rows as one array a bucket of keys."""
+    bucket = (rows["key"] % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(rows) else np.zeros(0, int)
+    ends = np.append(cut[1:], len(rows))
+    blobs = [rows[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(np.full(len(cut), kind, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "packed"])
 
 
-def _postings(shared, p: Params, window: int = 16 << 20):
-    """Prefix postings. Equal sets within a window of texts are posted once, at their first place."""
+def _postings(shared, p: Params, buckets: int, only=None, window: int = 16 << 20):
+    """Prefix postings, of the sorted keys ``only`` if given. Equal sets within a window of texts are posted once, at their first place."""
 
     def flush(held):
         doc, line, fp, n, keys = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -131,99 +149,150 @@ def _postings(shared, p: Params, window: int = 16 << 20):
         new[1:] = fp[order][1:] != fp[order][:-1]
         pick = np.sort(order[new])
         # parity bitmap: bit b is set if an odd number of the set's words hash to b
-        bit = np.uint64(1) << (ts.mix(keys.copy()) & np.uint64(63))
-        bits = np.bitwise_xor.reduceat(bit, first[:-1])
+        bits = np.bitwise_xor.reduceat(np.uint64(1) << (ts.mix(keys.copy()) & np.uint64(63)), first[:-1])
         size = n[pick] - (n[pick] * p.percent + 99) // 100 + 1
         at = np.repeat(np.arange(len(pick)), size)
         pos = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
         who = pick[at]
-        key = keys[first[who] + pos]
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[who]), pa.array(line[who], pa.int32()), pa.array(fp[who]), pa.array(bits[who].view(np.int64)), pa.array(n[who], pa.int32()), pa.array(pos, pa.int32())], names=_NAMES)
+        out = np.empty(len(who), POSTING)
+        out["key"], out["pos"] = keys[first[who] + pos], pos
+        for name, value in (("fp", fp), ("bits", bits), ("doc", doc), ("line", line), ("n", n)):
+            out[name] = value[who]
+        if only is not None:
+            table = only.value
+            found = np.minimum(np.searchsorted(table, out["key"]), len(table) - 1)
+            out = out[table[found] == out["key"]]
+        return _pack(out, 0, buckets)
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             doc = batch.column("doc").to_numpy()
             for lo, _, data, offsets in _texts(batch):
-                x = line_sets(data, offsets, shared.value, p)
+                x, _ = line_sets(data, offsets, shared.value, p)
                 if len(x.row):
                     held.append((doc[lo + x.row], x.line, _row_sum(ts.mix(x.keys.copy()), x.first), x.n, x.keys))
                 size += len(data)
                 if size > window and held:
-                    yield from flush(held)
+                    yield flush(held)
                     held, size = [], 0
         if held:
-            yield from flush(held)
+            yield flush(held)
 
     return run
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+ASKING = np.dtype([("key", "u8"), ("doc", "i8"), ("line", "i4")])
+
+
+def _asking(buckets: int):
+    """Packs unresolved (key, doc, line) for the tasks that hold their keys."""
+
+    def run(batches):
+        for batch in batches:
+            rows = np.empty(batch.num_rows, ASKING)
+            rows["key"] = batch.column("key").to_numpy().view(np.uint64)
+            rows["doc"], rows["line"] = batch.column("doc").to_numpy(), batch.column("line").to_numpy()
+            yield _pack(rows, 1, buckets)
+
+    return run
 
 
 _CANDIDATE = "doc long, line int, doc0 long, line0 int, key long, more boolean"
 
 
-def _candidates(p: Params, skip: int, take: int, only: bool):
-    """Walks postings sorted by (key, doc, line); a line's candidates are earlier lines of its key that pass the filters.
+def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.ndarray | None = None, hold: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Postings, in order of (key, doc, line), and among them (later, earlier, more) of candidate pairs that pass the filters.
 
-    Emits the ``skip``-th to ``take``-th earliest of each posting; ``more``: it has others after. only: just for rows marked ``ask``.
+    Each later line gets its ``skip``-th to ``take``-th earliest candidates of
+    a key; more: there are others after those. asking: only these get any.
     """
-
-    def walk(c: dict):
-        key, doc, line, fp, n, pos = (c[x] for x in ("key", "doc", "line", "fp", "n", "pos"))
-        # one row per set and key: the first in order, which is the set's first occurrence
-        order = np.lexsort((np.arange(len(key)), fp, key))
-        new = np.ones(len(order), bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (fp[order][1:] != fp[order][:-1])
-        pick = np.sort(order[new])
-        key, doc, line, n, pos, bits = key[pick], doc[pick], line[pick], n[pick].astype(np.int64), pos[pick].astype(np.int64), c["bits"][pick].view(np.uint64)
-        ask = c["ask"][pick] if only else None
-        start = np.ones(len(key), bool)
-        start[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(start)
-        group = np.cumsum(start) - 1
-        rank = np.arange(len(key)) - at[group]
-        found = np.zeros(len(key), np.int64)
-        later = np.flatnonzero(rank > 0) if ask is None else np.flatnonzero((rank > 0) & ask)
-        out = []
-        for k in range(int(rank.max(initial=0))):  # the k-th row of each group as the earlier one
-            later = later[rank[later] > k]
-            if not len(later):
-                break
-            a = at[group[later]] + k
-            na, nb = n[a], n[later]
-            need = (p.percent * (na + nb) + 99 + p.percent) // (100 + p.percent)
-            ok = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * p.percent) & (1 + np.minimum(na - pos[a], nb - pos[later]) - 1 >= need)
-            b, a, need, both = later[ok], a[ok], need[ok], (na + nb)[ok]
-            ok = _popcount(bits[a] ^ bits[b]) <= both - 2 * need
-            b, a = b[ok], a[ok]
-            if len(b):
-                found[b] += 1
-                ok = (found[b] > skip) & (found[b] <= take)
-                out.append(np.stack([b[ok], a[ok]]))
-                if not only:
-                    later = later[found[later] <= take]
-        if not out:
-            return
-        b, a = np.concatenate(out, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(line[b]), pa.array(doc[a]), pa.array(line[a]), pa.array(key[b]), pa.array(found[b] > take)], names=["doc", "line", "doc0", "line0", "key", "more"])
+    # one row per set and key: the first in order, which is the set's first occurrence
+    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["fp"], rows["key"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["fp"][1:] != rows["fp"][:-1])
+    rows = rows[new]
+    start = np.ones(len(rows), bool)
+    start[1:] = rows["key"][1:] != rows["key"][:-1]
+    alone = start & np.append(start[1:], True)
+    rows = rows[~alone]
+    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["key"]))]
+    asks = np.ones(len(rows), bool)
+    if asking is not None:
+        both = np.concatenate([asking, rows[list(ASKING.names)].astype(ASKING)])
+        _, inverse = np.unique(both, return_inverse=True)
+        wanted = np.zeros(inverse.max(initial=-1) + 1, bool)
+        wanted[inverse[: len(asking)]] = True
+        asks = wanted[inverse[len(asking) :]]
+    # by key and length, the partners of a row are those after it while the length allows
+    by = np.lexsort((rows["n"], rows["key"]))
+    key, n, pos, bits = rows["key"][by], rows["n"][by].astype(np.int64), rows["pos"][by].astype(np.int64), rows["bits"][by]
+    most = n * 100 // p.percent
+    pairs, held = [np.zeros((2, 0), np.int64)], 0
+    kept = take + 1 if take < 1 << 40 else take
+
+    def earliest(found: np.ndarray) -> np.ndarray:
+        """The first ``kept`` of each later row."""
+        found = found[:, np.lexsort((found[1], found[0]))]
+        head = np.ones(found.shape[1], bool)
+        head[1:] = found[0][1:] != found[0][:-1]
+        at = np.flatnonzero(head)
+        rank = np.arange(found.shape[1]) - np.repeat(at, np.diff(np.append(at, found.shape[1])))
+        return found[:, rank < kept]
+
+    left = np.arange(len(rows))
+    for gap in range(1, len(rows)):
+        left = left[left + gap < len(rows)]
+        right = left + gap
+        near = (key[right] == key[left]) & (n[right] <= most[left])
+        left, right = left[near], right[near]
+        if not len(left):
+            break
+        both = n[left] + n[right]
+        need = (p.percent * both + 99 + p.percent) // (100 + p.percent)
+        ok = np.minimum(n[left] - pos[left], n[right] - pos[right]) >= need
+        a, b, slack = left[ok], right[ok], (both - 2 * need)[ok]
+        ok = np.bitwise_count(bits[a] ^ bits[b]) <= slack
+        a, b = by[a[ok]], by[b[ok]]
+        found = np.stack([np.maximum(a, b), np.minimum(a, b)])
+        found = found[:, asks[found[0]]]
+        if found.shape[1]:
+            pairs.append(found)
+            held += found.shape[1]
+            if held > hold and kept < 1 << 40:
+                pairs = [earliest(np.concatenate(pairs, axis=1))]
+                held = pairs[0].shape[1]
+    found = earliest(np.concatenate(pairs, axis=1))
+    head = np.ones(found.shape[1], bool)
+    head[1:] = found[0][1:] != found[0][:-1]
+    at = np.flatnonzero(head)
+    count = np.diff(np.append(at, found.shape[1]))
+    rank = np.arange(found.shape[1]) - np.repeat(at, count)
+    beyond = np.repeat(count, count) > take
+    ok = (rank >= skip) & (rank < take)
+    return rows, found[0][ok], found[1][ok], beyond[ok]
+
+
+def _walk(p: Params, skip: int, take: int, only: bool):
+    """Candidates of packed postings that come sorted by bucket."""
+
+    def walk(held: list[tuple[int, bytes]]):
+        rows = np.concatenate([np.frombuffer(x, POSTING) for k, x in held if k == 0] or [np.zeros(0, POSTING)])
+        asking = np.concatenate([np.frombuffer(x, ASKING) for k, x in held if k == 1] or [np.zeros(0, ASKING)]) if only else None
+        rows, b, a, more = candidates(rows, p, skip, take, asking)
+        return pa.RecordBatch.from_arrays([pa.array(rows["doc"][b]), pa.array(rows["line"][b]), pa.array(rows["doc"][a]), pa.array(rows["line"][a]), pa.array(rows["key"][b].view(np.int64)), pa.array(more)], names=["doc", "line", "doc0", "line0", "key", "more"])
 
     def run(batches):
-        names = [*_NAMES, "ask"] if only else _NAMES
-        held, size = [], 0
+        held, bucket = [], None
         for batch in batches:
-            held.append({x: batch.column(x).to_numpy(zero_copy_only=False) for x in names})
-            size += batch.num_rows
-            if size >= 200_000:
-                c = {x: np.concatenate([h[x] for h in held]) for x in names}
-                cut = int(np.searchsorted(c["key"], c["key"][-1]))  # the last key may go on
-                if cut:
-                    yield from walk({x: v[:cut] for x, v in c.items()})
-                held, size = [{x: v[cut:] for x, v in c.items()}], size - cut
+            for b, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "packed")), strict=True):
+                if b != bucket and held:
+                    yield walk(held)
+                    held = []
+                bucket = b
+                held.append((kind, packed))
         if held:
-            yield from walk({x: np.concatenate([h[x] for h in held]) for x in names})
+            yield walk(held)
 
     return run
 
@@ -233,7 +302,7 @@ def _sets(p: Params):
         for batch in batches:
             doc, lines = batch.column("doc").to_numpy(), batch.column("lines")
             for lo, hi, data, offsets in _texts(batch, 4 << 20):
-                x = line_sets(data, offsets, None, p)
+                x, _ = line_sets(data, offsets, None, p)
                 want = {(r, v) for r, l in enumerate(lines.slice(lo, hi - lo).to_pylist()) for v in l}
                 mine = [i for i, k in enumerate(zip(x.row.tolist(), x.line.tolist(), strict=True)) if k in want]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[lo + x.row[mine]], pa.int64()), pa.array(x.line[mine], pa.int32()), pa.array([x.keys[x.first[i] : x.first[i + 1]].tobytes() for i in mine], pa.binary())], names=["doc", "line", "members"])
@@ -257,29 +326,37 @@ def _confirm(p: Params):
 
 def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """(doc, line) of those candidates whose full sets match an earlier line."""
-    pairs = pairs.select("doc", "line", "doc0", "line0").distinct()
+    pairs = materialise(pairs.select("doc", "line", "doc0", "line0").distinct(), "candidate-pairs", tidy=True)
     need = pairs.select("doc", "line").union(pairs.select("doc0", "line0")).distinct().groupBy("doc").agg(F.collect_list("line").alias("lines"))
-    sets = materialise(texts.join(need.select(rehash("doc").alias("doc"), "lines"), "doc").select("doc", "lines", "text").mapInArrow(_sets(p), "doc long, line int, members binary"), "line-sets")
+    need = small_enough(materialise(need, "asked"))
+    sets = materialise(texts.join(need, "doc").select("doc", "lines", "text").mapInArrow(_sets(p), "doc long, line int, members binary"), "line-sets", tidy=True)
     later, earlier = sets.withColumnRenamed("members", "left"), sets.toDF("doc0", "line0", "right")
-    return pairs.join(later, ["doc", "line"]).join(earlier, ["doc0", "line0"]).select("doc", "line", "left", "right").mapInArrow(_confirm(p), "doc long, line int").distinct()
+    both = pairs.join(later, ["doc", "line"]).join(earlier, ["doc0", "line0"]).select("doc", "line", "left", "right")
+    return materialise(both.mapInArrow(_confirm(p), "doc long, line int").distinct(), "near", tidy=True)
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", params: Params = Params()) -> DataFrame:
     """(doc, lines): the numbers, from 0, of the lines to remove from each document that loses any."""
-    p = params
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), "text")
-    counts = docs.sparkSession.sparkContext.broadcast(rarity(docs, p))
-    lines = materialise(texts.mapInArrow(_occurrences(p), "fp1 long, fp2 long, doc long, line int"), "lines")
-    postings = texts.mapInArrow(_postings(counts, p), _POSTING)
-    order = ["key", "doc", "line"]
-    found = materialise(postings.repartition("key").sortWithinPartitions(*order).mapInArrow(_candidates(p, 0, p.first, False), _CANDIDATE), "candidates")
-    near = materialise(_verify(found, texts, p), "near")
+    p, sc = params, docs.sparkSession.sparkContext
+    every = docs.select(F.col(id_col).cast("long").alias("doc"), "text")
+    texts = every.where("doc is not null")
+    survey = materialise(every.mapInArrow(_survey(p), "i int, c long, fp1 long, fp2 long, doc long, line int"), "lines")
+    lines, counts = survey.where("doc is not null").select("fp1", "fp2", "doc", "line"), _table(survey, p)
+    buckets = int(counts.sum() * (100 - p.percent) // 100 // p.bucket) + 1
+    shared = sc.broadcast(np.minimum(np.log2(counts + 1.0), 31).astype(np.uint64) << np.uint64(59))
+    postings = texts.mapInArrow(_postings(shared, p, buckets), _PACKED)
+    found = materialise(postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_walk(p, 0, p.first, False), _CANDIDATE), "candidates", tidy=True)
+    near = _verify(found, texts, p)
     more = materialise(found.where("more").select("key", "doc", "line").distinct().join(near, ["doc", "line"], "left_anti"), "unresolved")
-    if not more.isEmpty():  # all candidates of those that had more than the first round tried
-        keys = more.select("key").distinct().select(rehash("key").alias("key"))
-        again = postings.join(keys, "key", "left_semi").join(more.withColumn("ask", F.lit(True)), order, "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        rest = again.select(*_NAMES, "ask").repartition("key").sortWithinPartitions(*order).mapInArrow(_candidates(p, p.first, 1 << 62, True), _CANDIDATE)
-        near = materialise(near.union(_verify(materialise(rest, "candidates"), texts, p)).distinct(), "near")
+    # all candidates of those that had more than the first round tried; a block of their keys at a time
+    keys = materialise(more.select("key").distinct(), "unresolved-keys")
+    for block in range(blocks := -(-keys.count() // p.keys)):
+        here = F.pmod(F.xxhash64("key"), F.lit(blocks)) == block
+        table = sc.broadcast(np.sort(keys.where(here).toArrow().column("key").to_numpy().view(np.uint64)))
+        both = texts.mapInArrow(_postings(shared, p, buckets, table), _PACKED).union(more.where(here).mapInArrow(_asking(buckets), _PACKED))
+        rest = both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_walk(p, p.first, 1 << 62, True), _CANDIDATE)
+        near = near.union(_verify(materialise(rest, "candidates", tidy=True), texts, p))
+    near = near.distinct()
     first = lines.groupBy("fp1", "fp2").agg(F.min(F.struct("doc", "line")).alias("f"), F.count("*").alias("c"))
     first = first.select("fp1", "fp2", "c", F.col("f.doc").alias("doc"), F.col("f.line").alias("line"))
     hit = first.join(near.withColumn("near", F.lit(True)), ["doc", "line"], "left").where("near or c > 1")
@@ -298,7 +375,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", params: Params = Params
     ``docs`` named n_lines, n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = materialise(removals(docs, id_col, params), "removals").withColumnRenamed("doc", "_doc").withColumnRenamed("lines", "_lines")
+    gone = small_enough(materialise(removals(docs, id_col, params), "removals", tidy=True).toDF("_doc", "_lines"))
     both = docs.join(gone, docs[id_col].cast("long") == F.col("_doc"), "left").drop("_doc")
     names = [c for c in both.columns if c != "_lines"]
 

@@ -9,8 +9,9 @@ standard deviations, about 0.61) and are then confirmed on the full sets.
 Groups may hold any number of near copies, so pairs are never all emitted:
 
 1. documents with equal sets collapse to one representative;
-2. in every bucket each member is verified against the bucket's smallest member;
-3. only buckets whose members are then still in different components emit the
+2. in every bucket each member is verified against one centre; buckets whose
+   members are then in different components do so again about other centres;
+3. buckets whose members are at last still in different components emit the
    pairs that cross components, and those are verified too.
 
 Every candidate pair is thus verified or already connected, which loses no link
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, materialise, rehash, utf8
+from .common import chunks, materialise, rehash, small_enough, utf8
 from .components import connected_components
 
 
@@ -38,6 +39,7 @@ class Params:
     percent: int = 80
     bands: int = 32
     rows: int = 4
+    stars: int = 4  # rounds after the first; the last tries all that is left
     seed: int = 20240229
 
     @property
@@ -153,9 +155,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, p: Params) ->
     near = pairs.join(sig.select(F.col("id").alias("u"), F.col("sig").alias("sig_u")), "u").join(sig.select(F.col("id").alias("v"), F.col("sig").alias("sig_v")), "v")
     near = materialise(near.select("u", "v", "sig_u", "sig_v").mapInArrow(_agree(p), "u long, v long"), "near")
     ids = near.select(F.col("u").alias("id")).union(near.select("v")).distinct()
-    sets = materialise(texts.join(ids.select(rehash("id").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(_sets(p.shingle), "id long, members binary"), "sets")
+    ids = small_enough(materialise(ids, "asked"))  # else the texts are shuffled to them
+    sets = materialise(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(p.shingle), "id long, members binary"), "sets")
     both = near.join(sets.select(F.col("id").alias("v"), F.col("members").alias("right")), "v").join(sets.select(F.col("id").alias("u"), F.col("members").alias("left")), "u")
-    return materialise(both.select("u", "v", "left", "right").mapInArrow(_confirm(p), "u long, v long").distinct(), "links")
+    return materialise(both.select("u", "v", "left", "right").mapInArrow(_confirm(p), "u long, v long").distinct(), "links", tidy=True)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
@@ -174,36 +177,58 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = materialise(full.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "representatives")
     # every representative in each of its buckets; a bucket of one is no candidate
     slots = reps.select(F.explode("bands").alias("key"), "id", "n")
-    shared = slots.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(rehash("key").alias("key"), "low")
-    buckets = materialise(slots.join(shared, "key"), "buckets")
-    size = reps.select("id", "n")
-    pairs = buckets.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
-    pairs = materialise(_length(pairs, size, p), "pairs")
+    shared = slots.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(rehash("key").alias("key"))
+    buckets = materialise(slots.join(shared, "key", "left_semi"), "buckets", tidy=True)
+    pairs = materialise(_star(buckets.withColumn("component", F.col("id")), 0, p), "pairs")
     links = _verified(pairs, reps, texts, p)
-    # what one star per bucket left apart
-    label = connected_components(links)
-    placed = buckets.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = materialise(placed.select("key", "id", "n", "component"), "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("m"), F.max("component").alias("x")).where("m < x").select(rehash("key").alias("key"), "m")
-    split = materialise(placed.join(split, "key"), "split")
-    others = split.where("component <> m").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    every = split.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent)
-    rest = others.join(every, "key").where((F.col("ca") != F.col("cb")) & close).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    rest = materialise(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
-    if not rest.isEmpty():
+    tested, label = pairs, connected_components(links)
+    # more stars, each round about other centres, where members are still apart; then every pair that is left
+    for turn in range(1, p.stars + 1):
+        last = turn == p.stars
+        split = _apart(buckets, label)
+        rest = _crossing(split, p) if last else _star(split, turn, p)
+        rest = materialise(rest.join(tested, ["u", "v"], "left_anti"), "rest")
+        if rest.isEmpty():
+            if last:
+                break
+            continue
         links = links.union(_verified(rest, reps, texts, p))
         label = connected_components(links)
+        tested = tested.union(rest)
     # documents -> class -> component; ids of a class share its representative, ids with several classes join them
     of = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"))
     out = feats.select("id", "n", "fp1", "fp2").join(materialise(of, "components"), ["fp1", "fp2", "n"], "left")
     return _one_per_id(out).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def _length(pairs: DataFrame, size: DataFrame, p: Params) -> DataFrame:
-    """Pairs whose set sizes allow the threshold."""
-    u, v = size.select(F.col("id").alias("u"), F.col("n").alias("nu")), size.select(F.col("id").alias("v"), F.col("n").alias("nv"))
-    return pairs.join(u, "u").join(v, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * p.percent).select("u", "v").distinct()
+def _close(p: Params, a: str, b: str):
+    """Set sizes that allow the threshold."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * p.percent
+
+
+def _star(buckets: DataFrame, turn: int, p: Params) -> DataFrame:
+    """Distinct pairs (u > v) of each bucket's members with its centre: the smallest in one of four orders, which differ by turn."""
+    order = F.xxhash64("id", F.pmod("key", F.lit(4)), F.lit(turn))
+    centre = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "component")).alias("c"))
+    centre = centre.select(rehash("key").alias("key"), F.col("c.id").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb"))
+    both = buckets.join(centre, "key").where((F.col("component") != F.col("cb")) & _close(p, "n", "nb"))
+    return both.select(F.greatest("id", "b").alias("u"), F.least("id", "b").alias("v")).distinct()
+
+
+def _apart(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """Buckets whose members are in several components: key, id, n, component, and m, the smallest component."""
+    placed = buckets.select("key", "id", "n").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
+    placed = materialise(placed.select("key", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("m"), F.max("component").alias("x")).where("m < x").select(rehash("key").alias("key"), "m")
+    return materialise(placed.join(split, "key"), "split")
+
+
+def _crossing(split: DataFrame, p: Params) -> DataFrame:
+    """All distinct pairs (u > v) within a bucket whose components differ."""
+    others = split.where("component <> m").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    every = split.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    both = others.join(every, "key").where((F.col("ca") != F.col("cb")) & _close(p, "na", "nb"))
+    return both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
 def _one_per_id(out: DataFrame) -> DataFrame:
