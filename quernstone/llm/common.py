@@ -68,8 +68,9 @@ def materialise(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     df.write.parquet(path)
     if tidy:
         del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the second frees what the first made unreachable
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

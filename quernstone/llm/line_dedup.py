@@ -38,7 +38,7 @@ class Params:
     percent: int = 80
     min_words: int = 4
     counters: int = 1 << 17
-    first: int = 2  # candidates a posting gets in the first round
+    first: int = 1  # candidates a posting gets in the first round
     bucket: int = 60_000  # postings of a task's array, about
     keys: int = 1_000_000  # of the second round that are broadcast at once
 
@@ -123,7 +123,7 @@ def _table(survey: DataFrame, p: Params) -> np.ndarray:
     return total
 
 
-POSTING = np.dtype([("key", "u8"), ("fp", "i8"), ("bits", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "i4"), ("pos", "i4")])
+POSTING = np.dtype([("key", "u8"), ("low", "u8"), ("high", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "i4"), ("pos", "i4")])
 _PACKED = "bucket int, kind int, packed binary"
 
 
@@ -148,15 +148,17 @@ def _postings(shared, p: Params, buckets: int, only=None, window: int = 16 << 20
         new = np.ones(len(order), bool)
         new[1:] = fp[order][1:] != fp[order][:-1]
         pick = np.sort(order[new])
-        # parity bitmap: bit b is set if an odd number of the set's words hash to b
-        bits = np.bitwise_xor.reduceat(np.uint64(1) << (ts.mix(keys.copy()) & np.uint64(63)), first[:-1])
+        # parity bitmap of 128 bits: bit b is set if an odd number of the set's words hash to b
+        slot = ts.mix(keys.copy())
+        bit, upper = np.uint64(1) << (slot & np.uint64(63)), (slot >> np.uint64(6) & np.uint64(1)).astype(bool)
+        low, high = (np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), first[:-1]) for half in (~upper, upper))
         size = n[pick] - (n[pick] * p.percent + 99) // 100 + 1
         at = np.repeat(np.arange(len(pick)), size)
         pos = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
         who = pick[at]
         out = np.empty(len(who), POSTING)
         out["key"], out["pos"] = keys[first[who] + pos], pos
-        for name, value in (("fp", fp), ("bits", bits), ("doc", doc), ("line", line), ("n", n)):
+        for name, value in (("low", low), ("high", high), ("doc", doc), ("line", line), ("n", n)):
             out[name] = value[who]
         if only is not None:
             table = only.value
@@ -204,19 +206,14 @@ _CANDIDATE = "doc long, line int, doc0 long, line0 int, key long, more boolean"
 def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.ndarray | None = None, hold: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Postings, in order of (key, doc, line), and among them (later, earlier, more) of candidate pairs that pass the filters.
 
-    Each later line gets its ``skip``-th to ``take``-th earliest candidates of
+    Equal sets from different windows are candidates too; that their later
+    place is confirmed says nothing new. Each later line gets its ``skip``-th to ``take``-th earliest candidates of
     a key; more: there are others after those. asking: only these get any.
     """
-    # one row per set and key: the first in order, which is the set's first occurrence
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["fp"], rows["key"]))]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["fp"][1:] != rows["fp"][:-1])
-    rows = rows[new]
+    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["key"]))]
     start = np.ones(len(rows), bool)
     start[1:] = rows["key"][1:] != rows["key"][:-1]
-    alone = start & np.append(start[1:], True)
-    rows = rows[~alone]
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["key"]))]
+    rows = rows[~(start & np.append(start[1:], True))[: len(rows)]]  # without keys of one row
     asks = np.ones(len(rows), bool)
     if asking is not None:
         both = np.concatenate([asking, rows[list(ASKING.names)].astype(ASKING)])
@@ -226,7 +223,7 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
         asks = wanted[inverse[len(asking) :]]
     # by key and length, the partners of a row are those after it while the length allows
     by = np.lexsort((rows["n"], rows["key"]))
-    key, n, pos, bits = rows["key"][by], rows["n"][by].astype(np.int64), rows["pos"][by].astype(np.int64), rows["bits"][by]
+    key, n, pos, low, high = rows["key"][by], rows["n"][by].astype(np.int64), rows["pos"][by].astype(np.int64), rows["low"][by], rows["high"][by]
     most = n * 100 // p.percent
     pairs, held = [np.zeros((2, 0), np.int64)], 0
     kept = take + 1 if take < 1 << 40 else take
@@ -252,7 +249,7 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
         need = (p.percent * both + 99 + p.percent) // (100 + p.percent)
         ok = np.minimum(n[left] - pos[left], n[right] - pos[right]) >= need
         a, b, slack = left[ok], right[ok], (both - 2 * need)[ok]
-        ok = np.bitwise_count(bits[a] ^ bits[b]) <= slack
+        ok = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= slack
         a, b = by[a[ok]], by[b[ok]]
         found = np.stack([np.maximum(a, b), np.minimum(a, b)])
         found = found[:, asks[found[0]]]

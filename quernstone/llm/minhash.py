@@ -9,10 +9,10 @@ standard deviations, about 0.61) and are then confirmed on the full sets.
 Groups may hold any number of near copies, so pairs are never all emitted:
 
 1. documents with equal sets collapse to one representative;
-2. in every bucket each member is verified against one centre; buckets whose
-   members are then in different components do so again about other centres;
-3. buckets whose members are at last still in different components emit the
-   pairs that cross components, and those are verified too.
+2. in every bucket each member is verified against one centre, and where
+   members are then in different components, against another;
+3. where they still are, all pairs that cross components are verified within
+   tasks, which return an edge a member.
 
 Every candidate pair is thus verified or already connected, which loses no link
 that the components could show.
@@ -39,7 +39,7 @@ class Params:
     percent: int = 80
     bands: int = 32
     rows: int = 4
-    stars: int = 4  # rounds after the first; the last tries all that is left
+    chunk: int = 1024  # members of a bucket that meet as many others in one task
     seed: int = 20240229
 
     @property
@@ -149,14 +149,19 @@ def _confirm(p: Params):
     return run
 
 
+def _members(ids: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """(id, members): the full sets of the given ids."""
+    ids = small_enough(materialise(ids, "asked"))  # else the texts are shuffled to them
+    return materialise(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(p.shingle), "id long, members binary"), "sets")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Those of the distinct pairs (u, v) that really link, in the shared folder."""
     sig = reps.select("id", "sig")
     near = pairs.join(sig.select(F.col("id").alias("u"), F.col("sig").alias("sig_u")), "u").join(sig.select(F.col("id").alias("v"), F.col("sig").alias("sig_v")), "v")
     near = materialise(near.select("u", "v", "sig_u", "sig_v").mapInArrow(_agree(p), "u long, v long"), "near")
     ids = near.select(F.col("u").alias("id")).union(near.select("v")).distinct()
-    ids = small_enough(materialise(ids, "asked"))  # else the texts are shuffled to them
-    sets = materialise(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(p.shingle), "id long, members binary"), "sets")
+    sets = _members(ids, texts, p)
     both = near.join(sets.select(F.col("id").alias("v"), F.col("members").alias("right")), "v").join(sets.select(F.col("id").alias("u"), F.col("members").alias("left")), "u")
     return materialise(both.select("u", "v", "left", "right").mapInArrow(_confirm(p), "u long, v long").distinct(), "links", tidy=True)
 
@@ -181,20 +186,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = materialise(slots.join(shared, "key", "left_semi"), "buckets", tidy=True)
     pairs = materialise(_star(buckets.withColumn("component", F.col("id")), 0, p), "pairs")
     links = _verified(pairs, reps, texts, p)
-    tested, label = pairs, connected_components(links)
-    # more stars, each round about other centres, where members are still apart; then every pair that is left
-    for turn in range(1, p.stars + 1):
-        last = turn == p.stars
-        split = _apart(buckets, label)
-        rest = _crossing(split, p) if last else _star(split, turn, p)
-        rest = materialise(rest.join(tested, ["u", "v"], "left_anti"), "rest")
-        if rest.isEmpty():
-            if last:
-                break
-            continue
-        links = links.union(_verified(rest, reps, texts, p))
-        label = connected_components(links)
-        tested = tested.union(rest)
+    label = connected_components(links)
+    # another star where members are still apart, about other centres; then all pairs that are left, within tasks
+    rest = materialise(_star(_apart(buckets, label), 1, p).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    links = links.union(_verified(rest, reps, texts, p))
+    label = connected_components(links)
+    more = _crossing(_apart(buckets, label), reps, texts, p)
+    if not more.isEmpty():
+        label = connected_components(links.union(more))
     # documents -> class -> component; ids of a class share its representative, ids with several classes join them
     of = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"))
     out = feats.select("id", "n", "fp1", "fp2").join(materialise(of, "components"), ["fp1", "fp2", "n"], "left")
@@ -223,12 +222,126 @@ def _apart(buckets: DataFrame, label: DataFrame) -> DataFrame:
     return materialise(placed.join(split, "key"), "split")
 
 
-def _crossing(split: DataFrame, p: Params) -> DataFrame:
-    """All distinct pairs (u > v) within a bucket whose components differ."""
-    others = split.where("component <> m").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    every = split.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    both = others.join(every, "key").where((F.col("ca") != F.col("cb")) & _close(p, "na", "nb"))
-    return both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+def _crossing(split: DataFrame, reps: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """Edges (u, v) that join, within the buckets, all members of different components that link.
+
+    Two passes over squares of a bucket, of at most two chunks of members: the
+    first marks members with a partner that passes the length and signature
+    filters, in the first bucket that the two share; the second intersects the
+    full sets of the marked members. Neither returns pairs: marks are one a
+    member, edges one a member and square.
+    """
+    size = split.groupBy("key").agg(F.ceil(F.count("*") / p.chunk).alias("parts")).select(rehash("key").alias("key"), "parts")
+    rows = split.join(size, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    square = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    rows = rows.select("key", *square, "id", "n", "component").distinct().join(reps.select("id", "bands", "sig"), "id")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    marked = materialise(rows.mapInArrow(_mark(p), "key long, i long, j long, id long").distinct(), "marked", tidy=True)
+    sets = _members(marked.select("id").distinct(), texts, p)
+    rows = marked.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return materialise(rows.mapInArrow(_intersect(p), "u long, v long").distinct(), "links", tidy=True)
+
+
+def _squares(batches: Iterator[pa.RecordBatch], rows: int):
+    """Tables of whole squares (key, i, j) from batches sorted by them, of about ``rows`` rows, with each row's square number."""
+    held, size = [], 0
+
+    def numbered(t: pa.Table) -> np.ndarray:
+        cols = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+        new = np.zeros(t.num_rows, np.int64)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        return np.cumsum(new)
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            of = numbered(t)
+            cut = int(np.searchsorted(of, of[-1]))  # the last may go on
+            if cut:
+                yield t.slice(0, cut).combine_chunks(), of[:cut]
+                held, size = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+    if size:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, numbered(t)
+
+
+def _mark(p: Params):
+    def run(batches):
+        for t, of in _squares(batches, 20_000):
+            n, component = t.column("n").to_numpy(), t.column("component").to_numpy()
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, p.bands)
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, p.hashes)
+            key = t.column("key").to_numpy()
+            hit = np.zeros(len(of), bool)
+            left = np.arange(len(of))
+            for gap in range(1, len(of)):
+                left = left[left + gap < len(of)]
+                left = left[of[left] == of[left + gap]]
+                if not len(left):
+                    break
+                a = left[component[left] != component[left + gap]]
+                a = a[np.minimum(n[a], n[a + gap]) * 100 >= np.maximum(n[a], n[a + gap]) * p.percent]
+                for s in range(0, len(a), 20_000):
+                    x = a[s : s + 20_000]
+                    y = x + gap
+                    same = bands[x] == bands[y]
+                    x = x[bands[x, same.argmax(axis=1)] == key[x]]  # the first band they share is this bucket
+                    y = x + gap
+                    ok = (sig[x] == sig[y]).mean(axis=1) >= p.agreement
+                    hit[x[ok]] = hit[y[ok]] = True
+            yield from t.select(["key", "i", "j", "id"]).filter(pa.array(hit)).to_batches()
+
+    return run
+
+
+def _intersect(p: Params, tile: int = 256):
+    """Links among the members of each square, as an edge of each linked member to the smallest of its local component."""
+
+    def links(sets: list[np.ndarray]) -> np.ndarray:
+        found = []
+        for a in range(0, len(sets), tile):
+            for b in range(a, len(sets), tile):
+                both = sets[a : a + tile] + (sets[b : b + tile] if b > a else [])
+                sizes = np.array([len(x) for x in both])
+                _, word = np.unique(np.concatenate(both), return_inverse=True)
+                row = np.repeat(np.arange(len(both)), sizes)
+                width = 1 << 14
+                common = np.zeros((len(both), len(both)), np.float32)
+                for w in range(0, int(word.max()) + 1, width):
+                    here = (word >= w) & (word < w + width)
+                    m = np.zeros((len(both), width), np.float32)
+                    m[row[here], word[here] - w] = 1
+                    common += m @ m.T
+                i, j = np.nonzero(np.triu(100 * common >= p.percent * (sizes[:, None] + sizes[None, :] - common), 1))
+                k = min(tile, len(sets) - a)
+                found.append(np.stack([np.where(i < k, a + i, b + i - k), np.where(j < k, a + j, b + j - k)]))
+        return np.concatenate(found, axis=1)
+
+    def run(batches):
+        for t, of in _squares(batches, 2_000):
+            ids, blobs = t.column("id").to_numpy(), t.column("members").combine_chunks()
+            cut = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of)).tolist()
+            us, vs = [], []
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                i, j = links([np.frombuffer(blobs[r].as_buffer(), np.uint64) for r in range(lo, hi)])
+                low = ids[lo:hi].copy()
+                while len(i):
+                    new = low.copy()
+                    np.minimum.at(new, i, low[j])
+                    np.minimum.at(new, j, low[i])
+                    if (new == low).all():
+                        break
+                    low = new
+                moved = low != ids[lo:hi]
+                us.append(ids[lo:hi][moved])
+                vs.append(low[moved])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return run
 
 
 def _one_per_id(out: DataFrame) -> DataFrame:
