@@ -110,8 +110,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` bytes; a longer row makes a range of its own."""
+def chunks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes, which keeps the arrays of a range in the cache; a longer row makes a range of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)

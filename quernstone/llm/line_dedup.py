@@ -8,7 +8,8 @@ of fewer than ``min_words`` different words are left alone.
 Plan:
 
 1. word counts of the whole corpus, hashed into a fixed table, order words by rarity;
-2. equal sets collapse to their first occurrence by a partial aggregation;
+2. equal lines, word for word, collapse to their first occurrence by a partial
+   aggregation;
 3. each set posts its prefix, the ``n - ceil(t n) + 1`` rarest words, and
    postings are dealt out by word, packed as arrays. A task takes a word's
    postings by length and gives each line its earliest candidates that pass the
@@ -21,6 +22,7 @@ Plan:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, materialise, rehash, small_enough, utf8
+from .common import LOWER, UPPER, chunks, materialise, rehash, small_enough, utf8
+
+
+_WORD, _LOWER = re.compile(r"[^\x20\x09-\x0D]+"), str.maketrans(UPPER, LOWER)
 
 
 @dataclass(frozen=True)
@@ -51,34 +56,51 @@ class Lines:
     line: np.ndarray
     keys: np.ndarray
     first: np.ndarray
+    said: np.ndarray  # hash of the words as a sequence
 
     @property
     def n(self) -> np.ndarray:
         return np.diff(self.first)
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None, p: Params) -> tuple[Lines, ts.Words]:
-    """The words, and the sets of lines of at least ``min_words`` words. A key is 5 bits of the word's log2 count above 59 bits of its hash, so keys sort by rarity."""
-    w = ts.words(data, offsets)
+def _lines(w: ts.Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and number of each line that has words, and the offsets of their words."""
     row = w.row
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, w.begin) - np.searchsorted(breaks, offsets[:-1])[row]
-    key = w.hashes >> np.uint64(5)
-    if counts is not None:
-        key |= counts[(w.hashes & np.uint64(len(counts) - 1)).astype(np.int64)]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
     start = np.flatnonzero(new)
-    keys, first = ts.distinct_sorted(key, np.append(start, len(key)))
+    return row[start], line[start], np.append(start, len(row))
+
+
+_ODD = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+
+
+def _sequence(w: ts.Words, first: np.ndarray, odd: int) -> np.ndarray:
+    """A hash of each line's words in their order."""
+    place = (np.arange(len(w.hashes)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return _row_sum(ts.mix(w.hashes * np.uint64(odd) + place), first)
+
+
+def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None, p: Params) -> Lines:
+    """Sets of lines of at least ``min_words`` words. A key is 5 bits of the word's log2 count above 59 bits of its hash, so keys sort by rarity."""
+    w = ts.words(data, offsets)
+    row, line, first = _lines(w, data, offsets)
+    said = _sequence(w, first, _ODD[0]) if counts is not None else np.zeros(len(row), np.int64)
+    key = w.hashes >> np.uint64(5)
+    if counts is not None:
+        key |= counts[(w.hashes & np.uint64(len(counts) - 1)).astype(np.int64)]
+    keys, first = ts.distinct_sorted(key, first)
     n = np.diff(first)
     ok = n >= p.min_words
     if not ok.all():
         keys = keys[np.repeat(ok, n)]
         first = np.concatenate([[0], np.cumsum(n[ok])])
-    return Lines(row[start][ok], line[start][ok], keys, first), w
+    return Lines(row[ok], line[ok], keys, first, said[ok])
 
 
-def _texts(batch: pa.RecordBatch, limit: int = 1 << 20):
+def _texts(batch: pa.RecordBatch, limit: int = 1 << 18):
     data, offsets = utf8(batch.column("text"))
     for lo, hi in chunks(offsets, limit):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -90,7 +112,7 @@ def _row_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _survey(p: Params):
-    """One scan for two results: every line's set (fp1, fp2) with its place, and, once a task, its word counters (i, c)."""
+    """One scan for two results: the words of every line as a sequence (fp1, fp2), with its place, and, once a task, its word counters (i, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(p.counters, np.int64)
@@ -98,13 +120,13 @@ def _survey(p: Params):
             doc = batch.column("doc").to_numpy(zero_copy_only=False)
             known = np.asarray(batch.column("doc").is_valid())
             for lo, _, data, offsets in _texts(batch):
-                x, w = line_sets(data, offsets, None, p)
+                w = ts.words(data, offsets)
                 total += np.bincount((w.hashes & np.uint64(p.counters - 1)).astype(np.int64), minlength=p.counters)
-                fp = [_row_sum(ts.mix(x.keys ^ np.uint64(salt)), x.first) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                ok = known[lo + x.row]
-                place = [pa.array(fp[0][ok]), pa.array(fp[1][ok]), pa.array(doc[lo + x.row[ok]].astype(np.int64)), pa.array(x.line[ok], pa.int32())]
+                row, line, first = _lines(w, data, offsets)
+                fp = [_sequence(w, first, odd) for odd in _ODD]
+                ok = known[lo + row] & (np.diff(first) >= p.min_words)
                 none = pa.nulls(int(ok.sum()))
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), *place], names=_SURVEY)
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), pa.array(fp[0][ok]), pa.array(fp[1][ok]), pa.array(doc[lo + row[ok]].astype(np.int64)), pa.array(line[ok], pa.int32())], names=_SURVEY)
         some = np.flatnonzero(total)
         none = pa.nulls(len(some), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some]), none, none, none, none.cast(pa.int32())], names=_SURVEY)
@@ -138,8 +160,8 @@ def _pack(rows: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(np.full(len(cut), kind, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "packed"])
 
 
-def _postings(shared, p: Params, buckets: int, only=None, window: int = 16 << 20):
-    """Prefix postings, of the sorted keys ``only`` if given. Equal sets within a window of texts are posted once, at their first place."""
+def _postings(shared, p: Params, buckets: int, only=None, window: int = 8 << 20):
+    """Prefix postings, of the sorted keys ``only`` if given. Equal lines within a window of texts are posted once, at their first place."""
 
     def flush(held):
         doc, line, fp, n, keys = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -171,9 +193,9 @@ def _postings(shared, p: Params, buckets: int, only=None, window: int = 16 << 20
         for batch in batches:
             doc = batch.column("doc").to_numpy()
             for lo, _, data, offsets in _texts(batch):
-                x, _ = line_sets(data, offsets, shared.value, p)
+                x = line_sets(data, offsets, shared.value, p)
                 if len(x.row):
-                    held.append((doc[lo + x.row], x.line, _row_sum(ts.mix(x.keys.copy()), x.first), x.n, x.keys))
+                    held.append((doc[lo + x.row], x.line, x.said, x.n, x.keys))
                 size += len(data)
                 if size > window and held:
                     yield flush(held)
@@ -204,13 +226,14 @@ _CANDIDATE = "doc long, line int, doc0 long, line0 int, key long, more boolean"
 
 
 def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.ndarray | None = None, hold: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Postings, in order of (key, doc, line), and among them (later, earlier, more) of candidate pairs that pass the filters.
+    """Postings by key and length, and among them (later, earlier, more) of candidate pairs that pass the filters.
 
-    Equal sets from different windows are candidates too; that their later
-    place is confirmed says nothing new. Each later line gets its ``skip``-th to ``take``-th earliest candidates of
+    Equal lines of different windows are candidates too; that the later place
+    is confirmed says nothing new. Each later line gets its ``skip``-th to ``take``-th earliest candidates of
     a key; more: there are others after those. asking: only these get any.
     """
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["key"]))]
+    # by key and length, the partners of a row are those after it while the length allows
+    rows = rows[np.lexsort((rows["n"], rows["key"]))]
     start = np.ones(len(rows), bool)
     start[1:] = rows["key"][1:] != rows["key"][:-1]
     rows = rows[~(start & np.append(start[1:], True))[: len(rows)]]  # without keys of one row
@@ -221,16 +244,15 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
         wanted = np.zeros(inverse.max(initial=-1) + 1, bool)
         wanted[inverse[: len(asking)]] = True
         asks = wanted[inverse[len(asking) :]]
-    # by key and length, the partners of a row are those after it while the length allows
-    by = np.lexsort((rows["n"], rows["key"]))
-    key, n, pos, low, high = rows["key"][by], rows["n"][by].astype(np.int64), rows["pos"][by].astype(np.int64), rows["low"][by], rows["high"][by]
+    key, n, pos, low, high = np.ascontiguousarray(rows["key"]), rows["n"].astype(np.int64), rows["pos"].astype(np.int64), np.ascontiguousarray(rows["low"]), np.ascontiguousarray(rows["high"])
+    doc, line = np.ascontiguousarray(rows["doc"]), np.ascontiguousarray(rows["line"])
     most = n * 100 // p.percent
     pairs, held = [np.zeros((2, 0), np.int64)], 0
     kept = take + 1 if take < 1 << 40 else take
 
     def earliest(found: np.ndarray) -> np.ndarray:
         """The first ``kept`` of each later row."""
-        found = found[:, np.lexsort((found[1], found[0]))]
+        found = found[:, np.lexsort((line[found[1]], doc[found[1]], found[0]))]
         head = np.ones(found.shape[1], bool)
         head[1:] = found[0][1:] != found[0][:-1]
         at = np.flatnonzero(head)
@@ -250,8 +272,9 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
         ok = np.minimum(n[left] - pos[left], n[right] - pos[right]) >= need
         a, b, slack = left[ok], right[ok], (both - 2 * need)[ok]
         ok = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= slack
-        a, b = by[a[ok]], by[b[ok]]
-        found = np.stack([np.maximum(a, b), np.minimum(a, b)])
+        a, b = a[ok], b[ok]
+        swap = (doc[a] > doc[b]) | (doc[a] == doc[b]) & (line[a] > line[b])
+        found = np.stack([np.where(swap, a, b), np.where(swap, b, a)])
         found = found[:, asks[found[0]]]
         if found.shape[1]:
             pairs.append(found)
@@ -299,7 +322,7 @@ def _sets(p: Params):
         for batch in batches:
             doc, lines = batch.column("doc").to_numpy(), batch.column("lines")
             for lo, hi, data, offsets in _texts(batch, 4 << 20):
-                x, _ = line_sets(data, offsets, None, p)
+                x = line_sets(data, offsets, None, p)
                 want = {(r, v) for r, l in enumerate(lines.slice(lo, hi - lo).to_pylist()) for v in l}
                 mine = [i for i, k in enumerate(zip(x.row.tolist(), x.line.tolist(), strict=True)) if k in want]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[lo + x.row[mine]], pa.int64()), pa.array(x.line[mine], pa.int32()), pa.array([x.keys[x.first[i] : x.first[i + 1]].tobytes() for i in mine], pa.binary())], names=["doc", "line", "members"])
@@ -362,6 +385,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", params: Params = Params())
     return gone.groupBy("doc").agg(F.collect_list("line").alias("lines"))
 
 
+def _many(line: str, least: int) -> bool:
+    """Whether a line has at least ``least`` different words."""
+    return len({w.translate(_LOWER) for w in _WORD.findall(line)}) >= least
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", params: Params = Params()) -> DataFrame:
     """``docs`` without the removed lines, plus n_lines and n_removed (long).
 
@@ -374,7 +402,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", params: Params = Params
     docs = docs.drop("n_lines", "n_removed")
     gone = small_enough(materialise(removals(docs, id_col, params), "removals", tidy=True).toDF("_doc", "_lines"))
     both = docs.join(gone, docs[id_col].cast("long") == F.col("_doc"), "left").drop("_doc")
-    names = [c for c in both.columns if c != "_lines"]
+    names, p = [c for c in both.columns if c != "_lines"], params
 
     def run(batches):
         for batch in batches:
@@ -383,8 +411,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", params: Params = Params
             for text, drop in zip(texts, lines, strict=True):
                 n.append(text.count("\n") + 1 if text else 0)
                 if drop:
-                    drop = set(drop)
                     parts = text.split("\n") if text else []
+                    drop = {i for i in drop if i < len(parts) and _many(parts[i], p.min_words)}
                     kept = [x for i, x in enumerate(parts) if i not in drop]
                     cut.append(len(parts) - len(kept))
                     text = "\n".join(kept)

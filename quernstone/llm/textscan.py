@@ -37,7 +37,7 @@ SAME = np.arange(256, dtype=np.uint8)
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _pow or len(_pow[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         _pow[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, _U(p))]), dtype=np.uint64) for p in (_P, _PINV)]
     return _pow[0], _pow[1]
 
@@ -91,6 +91,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED, fol
     """
     n = int(offsets[-1])
     hashes, begins, ends = [], [], []
+    value = _BYTE[fold]
     lo = 0
     while lo < n:
         hi = min(n, lo + _PIECE)
@@ -108,7 +109,9 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED, fol
         power, inverse = _powers(len(piece) + 1)
         total = np.empty(len(piece) + 1, np.uint64)
         total[0] = 0
-        np.cumsum(_BYTE[fold[piece]] * power[: len(piece)], out=total[1:], dtype=np.uint64)
+        terms = value[piece]
+        terms *= power[: len(piece)]
+        np.cumsum(terms, out=total[1:])
         hashes.append(mix((total[e] - total[b]) * inverse[b]))
         begins.append(b + lo)
         ends.append(e + lo)
