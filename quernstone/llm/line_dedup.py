@@ -22,7 +22,6 @@ Plan:
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,20 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import LOWER, UPPER, chunks, materialise, rehash, small_enough, utf8
-
-
-_WORD, _LOWER = re.compile(r"[^\x20\x09-\x0D]+"), str.maketrans(UPPER, LOWER)
+from .common import chunks, materialise, rehash, small_enough, utf8
 
 
 @dataclass(frozen=True)
 class Params:
     percent: int = 80
     min_words: int = 4
-    counters: int = 1 << 17
+    counters: int = 1 << 16
     first: int = 1  # candidates a posting gets in the first round
     bucket: int = 60_000  # postings of a task's array, about
-    keys: int = 1_000_000  # of the second round that are broadcast at once
 
 
 @dataclass
@@ -83,14 +78,30 @@ def _sequence(w: ts.Words, first: np.ndarray, odd: int) -> np.ndarray:
     return _row_sum(ts.mix(w.hashes * np.uint64(odd) + place), first)
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None, p: Params) -> Lines:
-    """Sets of lines of at least ``min_words`` words. A key is 5 bits of the word's log2 count above 59 bits of its hash, so keys sort by rarity."""
+def _enough(hashes: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
+    """Whether each line has at least ``least`` different words. Most show it in a bitmap of 64 slots; the others are counted."""
+    ok = np.diff(first) >= least
+    if len(ok):
+        slots = np.bitwise_or.reduceat(np.uint64(1) << (hashes & np.uint64(63)), first[:-1])
+        for i in np.flatnonzero(ok & (np.bitwise_count(slots) < least)):
+            ok[i] = len(np.unique(hashes[first[i] : first[i + 1]])) >= least
+    return ok
+
+
+def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None, p: Params, want: set | None = None) -> Lines:
+    """Sets of lines of at least ``min_words`` words; want: only of these (row, line). A key is 5 bits of the word's log2 count above 59 bits of its hash, so keys sort by rarity."""
     w = ts.words(data, offsets)
     row, line, first = _lines(w, data, offsets)
     said = _sequence(w, first, _ODD[0]) if counts is not None else np.zeros(len(row), np.int64)
-    key = w.hashes >> np.uint64(5)
+    hashes = w.hashes
+    if want is not None:
+        mine = np.array([x in want for x in zip(row.tolist(), line.tolist(), strict=True)], bool)
+        size = np.diff(first)
+        hashes, row, line, said = hashes[np.repeat(mine, size)], row[mine], line[mine], said[mine]
+        first = np.concatenate([[0], np.cumsum(size[mine])])
+    key = hashes >> np.uint64(5)
     if counts is not None:
-        key |= counts[(w.hashes & np.uint64(len(counts) - 1)).astype(np.int64)]
+        key |= counts[(hashes & np.uint64(len(counts) - 1)).astype(np.int64)]
     keys, first = ts.distinct_sorted(key, first)
     n = np.diff(first)
     ok = n >= p.min_words
@@ -124,7 +135,7 @@ def _survey(p: Params):
                 total += np.bincount((w.hashes & np.uint64(p.counters - 1)).astype(np.int64), minlength=p.counters)
                 row, line, first = _lines(w, data, offsets)
                 fp = [_sequence(w, first, odd) for odd in _ODD]
-                ok = known[lo + row] & (np.diff(first) >= p.min_words)
+                ok = known[lo + row] & _enough(w.hashes, first, p.min_words)
                 none = pa.nulls(int(ok.sum()))
                 yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), pa.array(fp[0][ok]), pa.array(fp[1][ok]), pa.array(doc[lo + row[ok]].astype(np.int64)), pa.array(line[ok], pa.int32())], names=_SURVEY)
         some = np.flatnonzero(total)
@@ -160,8 +171,8 @@ def _pack(rows: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(np.full(len(cut), kind, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "packed"])
 
 
-def _postings(shared, p: Params, buckets: int, only=None, window: int = 8 << 20):
-    """Prefix postings, of the sorted keys ``only`` if given. Equal lines within a window of texts are posted once, at their first place."""
+def _postings(shared, p: Params, buckets: int, window: int = 8 << 20):
+    """Prefix postings. Equal lines within a window of texts are posted once, at their first place."""
 
     def flush(held):
         doc, line, fp, n, keys = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -182,10 +193,6 @@ def _postings(shared, p: Params, buckets: int, only=None, window: int = 8 << 20)
         out["key"], out["pos"] = keys[first[who] + pos], pos
         for name, value in (("low", low), ("high", high), ("doc", doc), ("line", line), ("n", n)):
             out[name] = value[who]
-        if only is not None:
-            table = only.value
-            found = np.minimum(np.searchsorted(table, out["key"]), len(table) - 1)
-            out = out[table[found] == out["key"]]
         return _pack(out, 0, buckets)
 
     def run(batches):
@@ -222,7 +229,7 @@ def _asking(buckets: int):
     return run
 
 
-_CANDIDATE = "doc long, line int, doc0 long, line0 int, key long, more boolean"
+_CANDIDATE = "doc long, line int, doc0 long, line0 int, key long, more boolean, bucket int, packed binary"
 
 
 def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.ndarray | None = None, hold: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,10 +240,13 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
     a key; more: there are others after those. asking: only these get any.
     """
     # by key and length, the partners of a row are those after it while the length allows
-    rows = rows[np.lexsort((rows["n"], rows["key"]))]
+    key = np.ascontiguousarray(rows["key"])
+    by = np.argsort(key)
+    key = key[by]
     start = np.ones(len(rows), bool)
-    start[1:] = rows["key"][1:] != rows["key"][:-1]
-    rows = rows[~(start & np.append(start[1:], True))[: len(rows)]]  # without keys of one row
+    start[1:] = key[1:] != key[:-1]
+    rows = rows[by[~(start & np.append(start[1:], True))[: len(rows)]]]  # without keys of one row
+    rows = rows[np.lexsort((rows["n"], rows["key"]))]
     asks = np.ones(len(rows), bool)
     if asking is not None:
         both = np.concatenate([asking, rows[list(ASKING.names)].astype(ASKING)])
@@ -294,25 +304,30 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
 
 
 def _walk(p: Params, skip: int, take: int, only: bool):
-    """Candidates of packed postings that come sorted by bucket."""
+    """Candidates of packed postings that come sorted by bucket; of keys that have more, the postings come out again, packed."""
 
-    def walk(held: list[tuple[int, bytes]]):
+    def walk(held: list[tuple[int, bytes]], bucket: int):
         rows = np.concatenate([np.frombuffer(x, POSTING) for k, x in held if k == 0] or [np.zeros(0, POSTING)])
         asking = np.concatenate([np.frombuffer(x, ASKING) for k, x in held if k == 1] or [np.zeros(0, ASKING)]) if only else None
         rows, b, a, more = candidates(rows, p, skip, take, asking)
-        return pa.RecordBatch.from_arrays([pa.array(rows["doc"][b]), pa.array(rows["line"][b]), pa.array(rows["doc"][a]), pa.array(rows["line"][a]), pa.array(rows["key"][b].view(np.int64)), pa.array(more)], names=["doc", "line", "doc0", "line0", "key", "more"])
+        again = rows[np.isin(rows["key"], rows["key"][b[more]])]
+        n, rest = len(b), 1 if len(again) else 0
+        pad = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(rest, pa.array(x).type)])
+        columns = [rows["doc"][b], rows["line"][b], rows["doc"][a], rows["line"][a], rows["key"][b].view(np.int64), more, np.full(n, bucket, np.int32)]
+        columns = [*map(pad, columns[:-1]), pa.array(np.full(n + rest, bucket, np.int32)), pa.array([None] * n + [again.tobytes()] * rest, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "line", "doc0", "line0", "key", "more", "bucket", "packed"])
 
     def run(batches):
         held, bucket = [], None
         for batch in batches:
             for b, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "packed")), strict=True):
                 if b != bucket and held:
-                    yield walk(held)
+                    yield walk(held, bucket)
                     held = []
                 bucket = b
                 held.append((kind, packed))
         if held:
-            yield walk(held)
+            yield walk(held, bucket)
 
     return run
 
@@ -322,10 +337,11 @@ def _sets(p: Params):
         for batch in batches:
             doc, lines = batch.column("doc").to_numpy(), batch.column("lines")
             for lo, hi, data, offsets in _texts(batch, 4 << 20):
-                x = line_sets(data, offsets, None, p)
                 want = {(r, v) for r, l in enumerate(lines.slice(lo, hi - lo).to_pylist()) for v in l}
-                mine = [i for i, k in enumerate(zip(x.row.tolist(), x.line.tolist(), strict=True)) if k in want]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[lo + x.row[mine]], pa.int64()), pa.array(x.line[mine], pa.int32()), pa.array([x.keys[x.first[i] : x.first[i + 1]].tobytes() for i in mine], pa.binary())], names=["doc", "line", "members"])
+                x = line_sets(data, offsets, None, p, want)
+                cut = x.first.tolist()
+                members = [x.keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[lo + x.row], pa.int64()), pa.array(x.line, pa.int32()), pa.array(members, pa.binary())], names=["doc", "line", "members"])
 
     return run
 
@@ -366,17 +382,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", params: Params = Params())
     shared = sc.broadcast(np.minimum(np.log2(counts + 1.0), 31).astype(np.uint64) << np.uint64(59))
     postings = texts.mapInArrow(_postings(shared, p, buckets), _PACKED)
     found = materialise(postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_walk(p, 0, p.first, False), _CANDIDATE), "candidates", tidy=True)
-    near = _verify(found, texts, p)
+    near = _verify(found.where("packed is null"), texts, p)
     more = materialise(found.where("more").select("key", "doc", "line").distinct().join(near, ["doc", "line"], "left_anti"), "unresolved")
-    # all candidates of those that had more than the first round tried; a block of their keys at a time
-    keys = materialise(more.select("key").distinct(), "unresolved-keys")
-    for block in range(blocks := -(-keys.count() // p.keys)):
-        here = F.pmod(F.xxhash64("key"), F.lit(blocks)) == block
-        table = sc.broadcast(np.sort(keys.where(here).toArrow().column("key").to_numpy().view(np.uint64)))
-        both = texts.mapInArrow(_postings(shared, p, buckets, table), _PACKED).union(more.where(here).mapInArrow(_asking(buckets), _PACKED))
+    if not more.isEmpty():  # all candidates of those that had more than the first round tried; the postings of their keys are at hand
+        both = found.where("packed is not null").select("bucket", F.lit(0).alias("kind"), "packed").union(more.mapInArrow(_asking(buckets), _PACKED))
         rest = both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_walk(p, p.first, 1 << 62, True), _CANDIDATE)
-        near = near.union(_verify(materialise(rest, "candidates", tidy=True), texts, p))
-    near = near.distinct()
+        near = near.union(_verify(materialise(rest, "candidates", tidy=True), texts, p)).distinct()
     first = lines.groupBy("fp1", "fp2").agg(F.min(F.struct("doc", "line")).alias("f"), F.count("*").alias("c"))
     first = first.select("fp1", "fp2", "c", F.col("f.doc").alias("doc"), F.col("f.line").alias("line"))
     hit = first.join(near.withColumn("near", F.lit(True)), ["doc", "line"], "left").where("near or c > 1")
@@ -385,11 +396,6 @@ def removals(docs: DataFrame, id_col: str = "doc_id", params: Params = Params())
     return gone.groupBy("doc").agg(F.collect_list("line").alias("lines"))
 
 
-def _many(line: str, least: int) -> bool:
-    """Whether a line has at least ``least`` different words."""
-    return len({w.translate(_LOWER) for w in _WORD.findall(line)}) >= least
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", params: Params = Params()) -> DataFrame:
     """``docs`` without the removed lines, plus n_lines and n_removed (long).
 
@@ -402,7 +408,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", params: Params = Params
     docs = docs.drop("n_lines", "n_removed")
     gone = small_enough(materialise(removals(docs, id_col, params), "removals", tidy=True).toDF("_doc", "_lines"))
     both = docs.join(gone, docs[id_col].cast("long") == F.col("_doc"), "left").drop("_doc")
-    names, p = [c for c in both.columns if c != "_lines"], params
+    names = [c for c in both.columns if c != "_lines"]
 
     def run(batches):
         for batch in batches:
@@ -411,8 +417,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", params: Params = Params
             for text, drop in zip(texts, lines, strict=True):
                 n.append(text.count("\n") + 1 if text else 0)
                 if drop:
+                    drop = set(drop)
                     parts = text.split("\n") if text else []
-                    drop = {i for i in drop if i < len(parts) and _many(parts[i], p.min_words)}
                     kept = [x for i, x in enumerate(parts) if i not in drop]
                     cut.append(len(parts) - len(kept))
                     text = "\n".join(kept)
