@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of a narrow table (ids, or ids with a few numbers: tens of bytes a row) that may be broadcast.
 BROADCAST_ROWS = 400_000
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own_dir: list[str] = []
 _shipped: set[str] = set()
 
@@ -42,6 +43,8 @@ def ship(spark: SparkSession) -> SparkSession:
             for f in top.rglob("*.py"):  # the whole package, so that the archive hides nothing of it
                 z.write(f, f.relative_to(top.parent))
         sc.addPyFile(str(archive))
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default; rows here are whole texts
+        spark.conf.set(_BATCH, "2000")
     return spark
 
 

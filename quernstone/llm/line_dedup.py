@@ -38,7 +38,7 @@ from .common import chunks, materialise, rehash, small_enough, utf8
 class Params:
     percent: int = 80
     min_words: int = 4
-    counters: int = 1 << 16
+    counters: int = 1 << 18
     first: int = 1  # candidates a posting gets in the first round
     bucket: int = 60_000  # postings of a task's array, about
 
