@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -48,6 +49,30 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow, handing freed memory back to the system now and then and at its end.
+
+    Python workers outlive their tasks; what their allocators keep would add up beside the executor's heap.
+    """
+
+    def trimmed(batches):
+        for n, out in enumerate(run(batches), 1):
+            yield out
+            if n % 64 == 0:
+                trim()
+        trim()
+
+    return trimmed
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a private one only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

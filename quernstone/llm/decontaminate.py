@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, materialise, utf8
+from .common import chunks, lean, materialise, utf8
 
 WINDOW, K = 8, 5
 #: Words of benchmark text that one broadcast block may hold (8 bytes a word and table); more words make more blocks.
@@ -236,7 +236,7 @@ def _scanner(shared, columns: list[str]):
             arrays = [*(batch.column(c) for c in columns), pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *ADDED])
 
-    return run
+    return lean(run)
 
 
 def digest(found: DataFrame, min_items: int = 2) -> DataFrame:

@@ -16,6 +16,8 @@ from unicodedata import east_asian_width
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 # The element groups of the HTML standard that this builder uses.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -342,4 +344,4 @@ def extract_pages(pages: DataFrame, keep: list[str], html_col: str = "html") ->
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields)
-    return pages.select(*dict.fromkeys([*keep, html_col])).mapInArrow(run, f"{schema}, text string")
+    return pages.select(*dict.fromkeys([*keep, html_col])).mapInArrow(lean(run), f"{schema}, text string")

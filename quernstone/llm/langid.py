@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, sample_by_hash, utf8
+from .common import chunks, lean, sample_by_hash, utf8
 
 CHAIN = 128
 BITS = 18
@@ -223,4 +223,4 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), f"{schema}, lang_pred string, score double")

@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, materialise, rehash, small_enough, utf8
+from .common import chunks, lean, materialise, rehash, small_enough, utf8
 
 
 @dataclass(frozen=True)
 class Params:
     percent: int = 80
     min_words: int = 4
-    counters: int = 1 << 18
+    counters: int = 1 << 17
     first: int = 1  # candidates a posting gets in the first round
     bucket: int = 60_000  # postings of a task's array, about
 
@@ -142,7 +142,7 @@ def _survey(p: Params):
         none = pa.nulls(len(some), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some]), none, none, none, none.cast(pa.int32())], names=_SURVEY)
 
-    return run
+    return lean(run)
 
 
 _SURVEY = ["i", "c", "fp1", "fp2", "doc", "line"]
@@ -210,7 +210,7 @@ def _postings(shared, p: Params, buckets: int, window: int = 8 << 20):
         if held:
             yield flush(held)
 
-    return run
+    return lean(run)
 
 
 ASKING = np.dtype([("key", "u8"), ("doc", "i8"), ("line", "i4")])
@@ -226,7 +226,7 @@ def _asking(buckets: int):
             rows["doc"], rows["line"] = batch.column("doc").to_numpy(), batch.column("line").to_numpy()
             yield _pack(rows, 1, buckets)
 
-    return run
+    return lean(run)
 
 
 _CANDIDATE = "doc long, line int, doc0 long, line0 int, key long, more boolean, bucket int, packed binary"
@@ -277,10 +277,14 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
         left, right = left[near], right[near]
         if not len(left):
             break
-        both = n[left] + n[right]
+        a, b = left, right
+        if asking is not None:
+            some = asks[a] | asks[b]
+            a, b = a[some], b[some]
+        both = n[a] + n[b]
         need = (p.percent * both + 99 + p.percent) // (100 + p.percent)
-        ok = np.minimum(n[left] - pos[left], n[right] - pos[right]) >= need
-        a, b, slack = left[ok], right[ok], (both - 2 * need)[ok]
+        ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
+        a, b, slack = a[ok], b[ok], (both - 2 * need)[ok]
         ok = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= slack
         a, b = a[ok], b[ok]
         swap = (doc[a] > doc[b]) | (doc[a] == doc[b]) & (line[a] > line[b])
@@ -329,7 +333,7 @@ def _walk(p: Params, skip: int, take: int, only: bool):
         if held:
             yield walk(held, bucket)
 
-    return run
+    return lean(run)
 
 
 def _sets(p: Params):
@@ -343,7 +347,7 @@ def _sets(p: Params):
                 members = [x.keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[lo + x.row], pa.int64()), pa.array(x.line, pa.int32()), pa.array(members, pa.binary())], names=["doc", "line", "members"])
 
-    return run
+    return lean(run)
 
 
 def _confirm(p: Params):
@@ -357,7 +361,7 @@ def _confirm(p: Params):
                 ok.append(100 * common >= p.percent * (len(both) - common))
             yield batch.select(["doc", "line"]).filter(pa.array(ok, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -429,7 +433,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", params: Params = Params
             yield pa.RecordBatch.from_arrays([*fields, pa.array(n, pa.int64()), pa.array(cut, pa.int64())], names=[*names, "n_lines", "n_removed"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_lines long, n_removed long"])
-    out = both.mapInArrow(run, schema)
+    out = both.mapInArrow(lean(run), schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, materialise, rehash, small_enough, utf8
+from .common import chunks, lean, materialise, rehash, small_enough, utf8
 from .components import connected_components
 
 
@@ -104,7 +104,7 @@ def _features(p: Params):
                 blobs[some] = [x.tobytes() for x in small]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), bands, pa.array(blobs, pa.binary())], names=["id", "n", "fp1", "fp2", "bands", "sig"])
 
-    return run
+    return lean(run)
 
 
 def _sets(size: int):
@@ -116,7 +116,7 @@ def _sets(size: int):
                 blobs = [sets[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(blobs, pa.binary())], names=["id", "members"])
 
-    return run
+    return lean(run)
 
 
 def _agree(p: Params):
@@ -129,7 +129,7 @@ def _agree(p: Params):
                 ok = (left == right).mean(axis=1) >= p.agreement
                 yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    return run
+    return lean(run)
 
 
 def _confirm(p: Params):
@@ -146,7 +146,7 @@ def _confirm(p: Params):
                 ok.append(100 * common >= p.percent * (len(both) - common) and common > 0)
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def _members(ids: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -295,7 +295,7 @@ def _mark(p: Params):
                     hit[x[ok]] = hit[y[ok]] = True
             yield from t.select(["key", "i", "j", "id"]).filter(pa.array(hit)).to_batches()
 
-    return run
+    return lean(run)
 
 
 def _intersect(p: Params, tile: int = 256):
@@ -341,7 +341,7 @@ def _intersect(p: Params, tile: int = 256):
                 vs.append(low[moved])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
-    return run
+    return lean(run)
 
 
 def _one_per_id(out: DataFrame) -> DataFrame:

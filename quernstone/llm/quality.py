@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, materialise, utf8
+from .common import chunks, lean, materialise, utf8
 
 NAMES = ("length", "words", "word_len", "upper", "digit", "symbol", "strong", "pipe", "line", "spread", "repeat", "stutter", "common")
 #: Bytes counted as symbols: ASCII punctuation but . , ; : ' " - ? ( ) ; STRONG: those that running prose hardly has.
@@ -106,7 +106,7 @@ def _featured(keep: list[str]):
             vec = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), vec], names=[*keep, "x"])
 
-    return run
+    return lean(run)
 
 
 def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -138,7 +138,7 @@ def fit(featured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
         flat = np.concatenate([n, s.ravel(), q.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["i", "v"])
 
-    sums = featured.join(y, id_col).select("x", "y").mapInArrow(moments, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    sums = featured.join(y, id_col).select("x", "y").mapInArrow(lean(moments), "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
     flat = np.zeros(2 + 2 * d + 2 * d * d)
     for r in sums.collect():  # 2 + 2 d + 2 d d numbers
         flat[r.i] = r.v
@@ -157,7 +157,7 @@ def scored(df: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(y)], names=[*keep, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    return df.mapInArrow(run, f"{schema}, score double")
+    return df.mapInArrow(lean(run), f"{schema}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
@@ -187,4 +187,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc
                 good = m.score(np.concatenate(rows)) >= threshold if m is not None else np.ones(batch.num_rows, bool)
                 yield batch.filter(pa.array(good))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*names).mapInArrow(lean(run), docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, rehash
+from .common import lean, materialise, rehash
 from .components import connected_components
 
 
@@ -108,7 +108,7 @@ def _slots(p: Params):
                         n = len(row)
                         yield pa.RecordBatch.from_arrays([label.take(pa.array(row)), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(cell), pa.array(np.full(n, home)), pa.array(cid[row])], names=["label", "dim", *schema])
 
-    return run
+    return lean(run)
 
 
 def _square(p: Params):
