@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import decontaminate, line_dedup, minhash, mixing, quality
-from quernstone.llm.common import materialise, ship
+from quernstone.llm.common import materialise, ship, small_enough
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five words a shingle, similarity 0.8): that of the smallest id."""
     ship(spark)
-    kept = minhash.components(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = materialise(kept.where("_id is not null"), "kept")
-    out = docs.join(kept, docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
-    return out.union(docs.where("doc_id is null"))
+    gone = minhash.components(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    gone = small_enough(materialise(gone, "copies"))  # else the documents are shuffled to them
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(f, f.relative_to(top.parent))
         sc.addPyFile(str(archive))
     if spark.conf.get(_BATCH) == "10000":  # Spark's default; rows here are whole texts
-        spark.conf.set(_BATCH, "2000")
+        spark.conf.set(_BATCH, "1000")
     return spark
 
 

@@ -73,9 +73,12 @@ _ODD = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
 def _sequence(w: ts.Words, first: np.ndarray, odd: int) -> np.ndarray:
-    """A hash of each line's words in their order."""
-    place = (np.arange(len(w.hashes)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return _row_sum(ts.mix(w.hashes * np.uint64(odd) + place), first)
+    """A hash of each line's words in their order: their hashes weighted by odd numbers that depend on the place."""
+    weight = (np.arange(len(w.hashes)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
+    weight *= np.uint64(0x9E3779B97F4A7C16)
+    weight += np.uint64(odd)
+    weight *= w.hashes
+    return _row_sum(weight, first)
 
 
 def _enough(hashes: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
@@ -171,7 +174,7 @@ def _pack(rows: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(np.full(len(cut), kind, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "packed"])
 
 
-def _postings(shared, p: Params, buckets: int, window: int = 8 << 20):
+def _postings(shared, p: Params, buckets: int, window: int = 6 << 20):
     """Prefix postings. Equal lines within a window of texts are posted once, at their first place."""
 
     def flush(held):
@@ -239,6 +242,8 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
     is confirmed says nothing new. Each later line gets its ``skip``-th to ``take``-th earliest candidates of
     a key; more: there are others after those. asking: only these get any.
     """
+    if asking is not None:
+        rows = rows[np.isin(rows["key"], asking["key"])]
     # by key and length, the partners of a row are those after it while the length allows
     key = np.ascontiguousarray(rows["key"])
     by = np.argsort(key)

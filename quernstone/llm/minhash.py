@@ -271,7 +271,7 @@ def _squares(batches: Iterator[pa.RecordBatch], rows: int):
 
 def _mark(p: Params):
     def run(batches):
-        for t, of in _squares(batches, 20_000):
+        for t, of in _squares(batches, 8_000):
             n, component = t.column("n").to_numpy(), t.column("component").to_numpy()
             bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, p.bands)
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, p.hashes)
@@ -322,7 +322,7 @@ def _intersect(p: Params, tile: int = 256):
         return np.concatenate(found, axis=1)
 
     def run(batches):
-        for t, of in _squares(batches, 2_000):
+        for t, of in _squares(batches, 1_000):
             ids, blobs = t.column("id").to_numpy(), t.column("members").combine_chunks()
             cut = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of)).tolist()
             us, vs = [], []
