@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-POINTER = "_current"
+POINTER = "CURRENT"
 
 
 class CountError(RuntimeError):
