@@ -40,7 +40,7 @@ class Params:
     min_words: int = 4
     counters: int = 1 << 17
     first: int = 1  # candidates a posting gets in the first round
-    bucket: int = 60_000  # postings of a task's array, about
+    bucket: int = 100_000  # postings of a task's array, about
 
 
 @dataclass
@@ -61,8 +61,9 @@ class Lines:
 def _lines(w: ts.Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and number of each line that has words, and the offsets of their words."""
     row = w.row
-    breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, w.begin) - np.searchsorted(breaks, offsets[:-1])[row]
+    breaks = np.zeros(len(data) + 1, np.int32)  # line feeds before each byte
+    np.cumsum(data == 10, out=breaks[1:])
+    line = (breaks[w.begin] - breaks[offsets[:-1]][row]).astype(np.int64)
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
     start = np.flatnonzero(new)
