@@ -275,7 +275,8 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
         rank = np.arange(found.shape[1]) - np.repeat(at, np.diff(np.append(at, found.shape[1])))
         return found[:, rank < kept]
 
-    left = np.arange(len(rows))
+    # the shorter of a pair: its place must leave room for the overlap that two sets of its size need, the least there is
+    left = np.flatnonzero(n - pos >= (2 * p.percent * n + 99 + p.percent) // (100 + p.percent))
     for gap in range(1, len(rows)):
         left = left[left + gap < len(rows)]
         right = left + gap
