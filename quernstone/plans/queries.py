@@ -314,10 +314,10 @@ def hybrid_representatives(spark, d):
 
 
 def _eval_queries(spark, d) -> DataFrame:
-    return X.table(spark, d, "embeddings").where("vec_id % 20 = 0 and vec_id < 400").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return X.table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-_TOPS = f"""{_PATTERNS}, eq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0 AND vec_id < 400),
+_TOPS = f"""{_PATTERNS}, eq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0),
 tops AS (SELECT query_id, pattern, row_number() OVER (PARTITION BY query_id ORDER BY list_sum(list_transform(list_zip(e, q), lambda z: z[1] * z[2])) DESC, pattern) AS rank FROM pat, eq)"""
 
 
