@@ -55,6 +55,14 @@ def routed(base: DataFrame, n: int = 7) -> DataFrame:
     return top_groups(base, "agency", n)
 
 
+def routed_by(records: DataFrame, key: str = "pattern", n: int = 3) -> DataFrame:
+    """(key, agency, count, place, total): the agencies that most of each key's records go to; total counts those without an agency too."""
+    line = W.partitionBy(key)
+    x = records.groupBy(key, "agency").agg(F.count("*").alias("count")).withColumn("total", F.sum("count").over(line))
+    x = x.withColumn("place", F.row_number().over(line.orderBy(F.col("agency").isNull(), F.desc("count"), "agency")))
+    return x.where((F.col("place") <= n) & F.col("agency").isNotNull()).select(key, "agency", "count", "place", "total")
+
+
 def involved(base: DataFrame, n: int = 7) -> DataFrame:
     """A record counts once for each agency of its set. Counted per set first, then spread."""
     sets = base.where("agencies is not null").groupBy("agencies").agg(F.count("*").alias("c"))

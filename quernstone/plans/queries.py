@@ -362,3 +362,23 @@ def short_patterns(spark, d):
     from ..functions.columns import short_pattern
 
     return X.table(spark, d, "part").select(pattern_text(F.col("p_type"), F.col("p_name")).alias("pattern")).distinct().withColumn("shown", short_pattern(F.col("pattern")))
+
+
+@register(f"WITH {_RECORDS} SELECT pattern, count(*) AS count FROM rec GROUP BY pattern ORDER BY 2 DESC, 1 LIMIT 500")
+def pattern_universe(spark, d):
+    return A.top_groups(X.records(spark, d), "pattern", 500)
+
+
+@register(f"""WITH {_RECORDS}, c AS (SELECT pattern, agency, count(*) AS count FROM rec GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY count DESC, agency) AS place, CAST(sum(count) OVER (PARTITION BY pattern) AS BIGINT) AS total FROM c)
+SELECT pattern, agency, count, place, total FROM r WHERE place <= 3""")
+def routed_by_pattern(spark, d):
+    return A.routed_by(X.records(spark, d))
+
+
+@register(f"""WITH {_PATTERNS}, {_QUERY}, {_SIM}, a AS (SELECT pattern, row_number() OVER (ORDER BY sim DESC, pattern) AS rank_with FROM sim),
+o AS (SELECT pattern, list_sum(list_transform(list_zip(pat.e, x.e), lambda z: z[1] * z[2])) AS sim FROM pat, (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 3) x), b AS (SELECT pattern, row_number() OVER (ORDER BY sim DESC, pattern) AS rank_without FROM o)
+SELECT pattern, rank_with, rank_without FROM a JOIN b USING (pattern) WHERE rank_with <= 10 AND rank_without <= 10""")
+def prefix_overlap(spark, d):
+    p, top = X.patterns(spark, d), lambda *ids: vector_column(X.vector(spark, d, *ids))
+    both = [R.nearest(p, v, 10).select("pattern", F.col("rank").alias(name)) for v, name in ((top(3, 11), "rank_with"), (top(3), "rank_without"))]
+    return both[0].join(both[1], "pattern")

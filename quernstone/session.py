@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "quernstone") -> SparkSession:
-    b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.sql.ansi.enabled", "true").config("spark.ui.showConsoleProgress", "false")
+    b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.sql.ansi.enabled", "true").config("spark.sql.python.filterPushdown.enabled", "true").config("spark.ui.showConsoleProgress", "false")
     if master:
         b = b.master(master)
     if shuffle_partitions:

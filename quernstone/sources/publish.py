@@ -32,6 +32,14 @@ def read_current(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(path) if path else None
 
 
+def _replace(spark: SparkSession, fs, source, target) -> None:
+    """Rename over what is there in one step, so that a reader always finds a pointer."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target, how)
+
+
 def publish(df: DataFrame, base: str, expected: int | None = None, keep: int = 1, partition_by: tuple[str, ...] = ()) -> str:
     """Write, count, switch, prune. A mismatch with ``expected`` raises and leaves the published version as it is."""
     spark = df.sparkSession
@@ -44,8 +52,7 @@ def publish(df: DataFrame, base: str, expected: int | None = None, keep: int = 1
     out = fs.create(path(f"{base}/{POINTER}.new"), True)
     out.write(bytearray(name, "utf-8"))
     out.close()
-    fs.delete(path(f"{base}/{POINTER}"), False)
-    fs.rename(path(f"{base}/{POINTER}.new"), path(f"{base}/{POINTER}"))
+    _replace(spark, fs, path(f"{base}/{POINTER}.new"), path(f"{base}/{POINTER}"))
     old = sorted(s.getPath().getName() for s in fs.listStatus(path(base)) if s.getPath().getName().startswith("v="))
     for v in old[: max(0, len(old) - keep)]:
         if v != name:

@@ -52,7 +52,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 class PagedSource(DataSource):
     """``spark.read.format("paged_rest")``: options url, token, page, pages, order.
 
-    Filters on created_date and agency go to the service; each task reads a run
+    Filters on created_date and agency go to the service, for which the session
+    needs spark.sql.python.filterPushdown.enabled; each task reads a run
     of pages by offset until a short or empty one. ``pages`` above one splits
     the offsets over that many tasks, each of which takes every pages-th page.
     """
