@@ -236,7 +236,7 @@ def _asking(buckets: int):
 _CANDIDATE = "doc long, line int, doc0 long, line0 int, key long, more boolean, bucket int, packed binary"
 
 
-def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.ndarray | None = None, hold: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.ndarray | None = None, hold: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Postings by key and length, and among them (later, earlier, more) of candidate pairs that pass the filters.
 
     Equal lines of different windows are candidates too; that the later place
@@ -303,6 +303,7 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
             if held > hold and kept < 1 << 40:
                 pairs = [earliest(np.concatenate(pairs, axis=1))]
                 held = pairs[0].shape[1]
+                hold = max(hold, 2 * held)
     found = earliest(np.concatenate(pairs, axis=1))
     head = np.ones(found.shape[1], bool)
     head[1:] = found[0][1:] != found[0][:-1]
