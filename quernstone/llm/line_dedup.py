@@ -3,13 +3,15 @@
 A line is the set of its words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased). A line
 is removed when an earlier one - smaller (doc_id, line number) - has a Jaccard
 similarity of at least ``percent``; the earlier one may itself be removed. Lines
-of fewer than ``min_words`` different words are left alone.
+of fewer than ``min_words`` different words are left alone; 1 leaves out none
+that has a word.
 
 Plan:
 
 1. word counts of the whole corpus, hashed into a fixed table, order words by rarity;
 2. equal lines, word for word, collapse to their first occurrence by a partial
-   aggregation;
+   aggregation; sets too small to match any but an equal one (at most three
+   words at 80) collapse as sets, which settles them: they post nothing;
 3. each set posts its prefix, the ``n - ceil(t n) + 1`` rarest words, and
    postings are dealt out by word, packed as arrays. A task takes a word's
    postings by length and gives each line its earliest candidates that pass the
@@ -42,6 +44,11 @@ class Params:
     first: int = 1  # candidates a posting gets in the first round
     bucket: int = 100_000  # postings of a task's array, about
 
+    @property
+    def joined(self) -> int:
+        """Words from which on a set can match an unequal one: 100 n >= percent (n + 1)."""
+        return -(-self.percent // (100 - self.percent)) if self.percent < 100 else 1 << 31
+
 
 @dataclass
 class Lines:
@@ -73,19 +80,31 @@ def _lines(w: ts.Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
 _ODD = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
-def _sequence(w: ts.Words, first: np.ndarray, odd: int) -> np.ndarray:
+def _sequence(hashes: np.ndarray, first: np.ndarray, odd: int) -> np.ndarray:
     """A hash of each line's words in their order: their hashes weighted by odd numbers that depend on the place."""
-    weight = (np.arange(len(w.hashes)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
+    weight = (np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
     weight *= np.uint64(0x9E3779B97F4A7C16)
     weight += np.uint64(odd)
-    weight *= w.hashes
+    weight *= hashes
     return _row_sum(weight, first)
 
 
+def _as_sets(hashes: np.ndarray, first: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different words of ``some`` lines, ascending, and their offsets."""
+    size = np.diff(first)[some]
+    who = np.repeat(np.arange(len(some)), size)
+    h = hashes[np.arange(len(who)) + np.repeat(first[some] - (np.cumsum(size) - size), size)]
+    order = np.lexsort((h, who))
+    h, who = h[order], who[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(who[new], minlength=len(some)))])
+
+
 def _enough(hashes: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
     """Whether each line has at least ``least`` different words. Most show it in a bitmap of 64 slots; the others are counted."""
     ok = np.diff(first) >= least
-    if len(ok):
+    if len(ok) and least > 1:
         slots = np.bitwise_or.reduceat(np.uint64(1) << (hashes & np.uint64(63)), first[:-1])
         for i in np.flatnonzero(ok & (np.bitwise_count(slots) < least)):
             ok[i] = len(np.unique(hashes[first[i] : first[i + 1]])) >= least
@@ -93,10 +112,10 @@ def _enough(hashes: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None, p: Params, want: set | None = None) -> Lines:
-    """Sets of lines of at least ``min_words`` words; want: only of these (row, line). A key is 5 bits of the word's log2 count above 59 bits of its hash, so keys sort by rarity."""
+    """Sets of lines of at least ``min_words`` words that can match an unequal one; want: only of these (row, line). A key is 5 bits of the word's log2 count above 59 bits of its hash, so keys sort by rarity."""
     w = ts.words(data, offsets)
     row, line, first = _lines(w, data, offsets)
-    said = _sequence(w, first, _ODD[0]) if counts is not None else np.zeros(len(row), np.int64)
+    said = _sequence(w.hashes, first, _ODD[0]) if counts is not None else np.zeros(len(row), np.int64)
     hashes = w.hashes
     if want is not None:
         mine = np.array([x in want for x in zip(row.tolist(), line.tolist(), strict=True)], bool)
@@ -108,7 +127,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None,
         key |= counts[(hashes & np.uint64(len(counts) - 1)).astype(np.int64)]
     keys, first = ts.distinct_sorted(key, first)
     n = np.diff(first)
-    ok = n >= p.min_words
+    ok = n >= max(p.min_words, p.joined)
     if not ok.all():
         keys = keys[np.repeat(ok, n)]
         first = np.concatenate([[0], np.cumsum(n[ok])])
@@ -127,7 +146,7 @@ def _row_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _survey(p: Params):
-    """One scan for two results: the words of every line as a sequence (fp1, fp2), with its place, and, once a task, its word counters (i, c)."""
+    """One scan for two results: the words of every line (fp1, fp2) as a sequence, or as a set if only an equal set can match, with its place, and, once a task, its word counters (i, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(p.counters, np.int64)
@@ -138,8 +157,13 @@ def _survey(p: Params):
                 w = ts.words(data, offsets)
                 total += np.bincount((w.hashes & np.uint64(p.counters - 1)).astype(np.int64), minlength=p.counters)
                 row, line, first = _lines(w, data, offsets)
-                fp = [_sequence(w, first, odd) for odd in _ODD]
+                fp = [_sequence(w.hashes, first, odd) for odd in _ODD]
                 ok = known[lo + row] & _enough(w.hashes, first, p.min_words)
+                small = np.flatnonzero(ok & ~_enough(w.hashes, first, p.joined)) if p.min_words < p.joined else []
+                if len(small):
+                    sets = _as_sets(w.hashes, first, small)
+                    for x, odd in zip(fp, _ODD, strict=True):
+                        x[small] = _sequence(*sets, odd)
                 none = pa.nulls(int(ok.sum()))
                 yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), pa.array(fp[0][ok]), pa.array(fp[1][ok]), pa.array(doc[lo + row[ok]].astype(np.int64)), pa.array(line[ok], pa.int32())], names=_SURVEY)
         some = np.flatnonzero(total)

@@ -30,8 +30,8 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its removed lines: doc_id, text, n_lines, n_removed."""
-    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document without its removed lines, short ones included: doc_id, text, n_lines, n_removed."""
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), params=line_dedup.Params(min_words=1))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,21 @@ def test_line_dedup(spark, bucket):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, params=line_dedup.Params(bucket=bucket)).collect()} == brute_lines(texts)
 
 
+def test_line_dedup_short_lines(spark):
+    rng = random.Random(6)
+    pool = ["Les.", "les. LES.", "a b", "b  a", "a b a b a", "a b c", "c b a", "a b c d", "a b c d e", "\u6ca1\u6709\u7a7a\u683c" * 9, "x"]
+    texts = {d: "\n".join(rng.choice([*pool, f"own {d}", ""]) for _ in range(4)) for d in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for percent in (80, 90, 100):
+        p = line_dedup.Params(percent=percent, min_words=1)
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, params=p).collect()} == brute_lines(texts, percent, 1)
+
+
+def test_line_dedup_query_takes_every_line(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in queries.op2_line_dedup(spark, SF).collect()} == brute_lines(texts, least=1)
+
+
 def test_line_dedup_odd(spark, odd):
     got = line_dedup.dedup_lines(odd.withColumn("n_removed", F.lit("clash")))
     rows = got.collect()
