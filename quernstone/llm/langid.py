@@ -5,8 +5,8 @@ chain; long lines start a new chain every CHAIN words, so that chains can be
 run side by side. A word's features are its prefixes and suffixes of 1 to 4
 bytes, its byte trigrams and the word itself (the learned lexicon), hashed into
 one table of weights per language. Transitions are learned with them.
-Forward-backward gives each word's posterior; a document's score for a language
-is the mean of its words' posteriors.
+Forward-backward gives each word's posterior, by which the words are labelled;
+a document's score for a language is the mean of its words' posteriors.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ class Chains:
     tri_word: np.ndarray  # their words
     start: np.ndarray  # first word of each chain
     size: np.ndarray
+    begin: np.ndarray | None = None  # byte bounds of each word
+    end: np.ndarray | None = None
 
 
 def chains(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Chains:
@@ -83,7 +85,7 @@ def chains(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Chains:
     first = np.flatnonzero(new)
     rank = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
     start = np.flatnonzero(rank % CHAIN == 0)
-    return Chains(row, dense, tri, tri_word, start, np.diff(np.append(start, n)))
+    return Chains(row, dense, tri, tri_word, start, np.diff(np.append(start, n)), w.begin, w.end)
 
 
 def emissions(c: Chains, weight: np.ndarray) -> np.ndarray:
@@ -166,16 +168,20 @@ class Model:
                 trans += rate * step / np.sqrt(gt)
         return cls(names, weight, trans)
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Mean posterior by language of each row (rows x languages); rows without words are zero."""
+    def label(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Chains, np.ndarray]:
+        """The words of all rows and their posteriors (words x languages)."""
         c = chains(data, offsets, int(np.log2(len(self.weight))))
-        out = np.zeros((len(offsets) - 1, len(self.langs)))
-        if len(c.row):
-            post, _ = forward_backward(emissions(c, self.weight), c, self.trans)
-            for j in range(out.shape[1]):
-                out[:, j] = np.bincount(c.row, weights=post[:, j], minlength=len(out))
-            out /= np.maximum(np.bincount(c.row, minlength=len(out)), 1)[:, None]
-        return out
+        if not len(c.row):
+            return c, np.zeros((0, len(self.langs)))
+        return c, forward_backward(emissions(c, self.weight), c, self.trans)[0]
+
+
+def means(c: Chains, post: np.ndarray, rows: int) -> np.ndarray:
+    """Mean posterior by language of each row (rows x languages); rows without words are zero."""
+    out = np.zeros((rows, post.shape[1]))
+    for j in range(out.shape[1]):
+        out[:, j] = np.bincount(c.row, weights=post[:, j], minlength=rows)
+    return out / np.maximum(np.bincount(c.row, minlength=rows), 1)[:, None]
 
 
 def train(docs: DataFrame, condition=None, id_col: str = "doc_id", sample: int = SAMPLE) -> Model | None:
@@ -195,11 +201,27 @@ def train(docs: DataFrame, condition=None, id_col: str = "doc_id", sample: int =
     return Model.fit([r["text"] for r in got], [r["lang"] for r in got]) if got else None
 
 
+_WORD = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("posterior", pa.float64())])
+
+
+def _labelled(c: Chains, post: np.ndarray, langs: list[str], data: np.ndarray, offsets: np.ndarray, ok: np.ndarray) -> pa.Array:
+    """The word labels of each row; none for rows that aren't ``ok``."""
+    mine = ok[c.row]
+    row, best = c.row[mine], post[mine].argmax(axis=1)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+    begin, end = (chars[x[mine]] - chars[offsets[:-1]][row] for x in (c.begin, c.end))
+    top = post[mine][np.arange(len(best)), best].astype(np.float64)
+    words = pa.StructArray.from_arrays([pa.array(begin), pa.array(end), pa.array(langs, pa.string()).take(pa.array(best)), pa.array(np.minimum(top, 1.0))], fields=list(_WORD))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ok)))]), pa.int32()), words)
+
+
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score (mean posterior, 0 to 1) for every row.
+    """Columns ``keep`` with words, lang_pred and score (mean posterior, 0 to 1) for every row.
 
-    Null texts and texts without a letter get ``und`` and 0, as does every row
-    without a model. Ties go to the language that sorts first.
+    words: array of struct(begin, end, lang, posterior), each word's bounds in
+    characters from 0 and its likeliest language. Null texts and texts without
+    a letter get no words, ``und`` and 0, as does every row without a model.
+    Ties go to the language that sorts first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -207,20 +229,27 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
         for batch in batches:
             m, text = shared.value, batch.column("text")
             data, offsets = utf8(text)
-            lang, score = [], []
             for lo, hi in chunks(offsets):
                 piece, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 ascii_ = (piece >= 0x41) & (piece <= 0x7A) & ((piece <= 0x5A) | (piece >= 0x61))
                 letters = np.diff(np.concatenate([[0], np.cumsum(ascii_)])[offs]) > 0
                 for i in np.flatnonzero(~letters & (np.diff(offs) > 0)):
                     letters[i] = bool(_LETTER.search(text[lo + i].as_py()))
-                p = m.predict(piece, offs) if m is not None else np.zeros((hi - lo, 1))
+                if m is None:
+                    p, words = np.zeros((hi - lo, 1)), pa.array([[]] * (hi - lo), pa.list_(_WORD))
+                else:
+                    c, post = m.label(piece, offs)
+                    p = means(c, post, hi - lo)
                 best = p.argmax(axis=1)
                 top = p[np.arange(len(p)), best]
                 ok = letters & (top > 0)
-                lang += [m.langs[b] if good else "und" for b, good in zip(best.tolist(), ok.tolist(), strict=True)]
-                score += np.where(ok, np.minimum(top, 1.0), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                if m is not None:
+                    words = _labelled(c, post, m.langs, piece, offs, ok)
+                lang = [m.langs[b] if good else "und" for b, good in zip(best.tolist(), ok.tolist(), strict=True)]
+                score = np.where(ok, np.minimum(top, 1.0), 0.0)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), words, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "words", "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), f"{schema}, lang_pred string, score double")
+    words = "words array<struct<begin:long,end:long,lang:string,posterior:double>>"
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), f"{schema}, {words}, lang_pred string, score double")

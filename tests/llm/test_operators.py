@@ -187,6 +187,23 @@ def test_langid(spark, odd):
     assert {r.lang_pred for r in langid.identify(odd, langid.train(odd.where("false")), ["doc_id"]).collect()} == {"und"}
 
 
+def test_langid_labels_words(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs)
+    own = {r.lang: " ".join(re.findall(r"[^\W\d_]+", r.text)[:60]) for r in docs.where("lang in ('en', 'de') and n_chars > 1000").orderBy(F.desc("doc_id")).limit(200).collect()}
+    text = f"€ 1 {own['en']}\n{own['de'][: len(own['de']) // 2]}"
+    rows = [(1, text), (2, None), (3, "123 — !"), (4, "")]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model, ["doc_id"]).collect()}
+    words = got[1].words
+    assert [text[w.begin : w.end] for w in words] == re.findall(r"(?:[^\W\d_]|[^\x00-\x7F])+", text)
+    assert got[1].lang_pred == "en" and all(0 < w.posterior <= 1 for w in words)
+    cut = text.index("\n")
+    for lang, part in (("en", [w for w in words if 4 <= w.begin < cut]), ("de", [w for w in words if w.begin > cut])):
+        assert len(part) > 10 and sum(w.lang == lang for w in part) > 0.9 * len(part)
+    assert [got[i].words for i in (2, 3, 4)] == [[], [], []]
+    assert {len(r.words) for r in langid.identify(odd, None, ["doc_id"]).collect()} == {0}
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     u, trans = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
