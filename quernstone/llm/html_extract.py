@@ -2,7 +2,9 @@
 
 All visible text comes out: blocks on lines of their own, a blank line around
 paragraphs, headings, lists and tables, list items marked and indented, table
-cells padded into columns, preformatted text as it is.
+cells padded into columns, preformatted text as it is. Formulas, labels of
+drawings and the options that a select shows are text too. Style rules count if
+they hold on a screen of SCREEN pixels.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .common import lean
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HEAD = frozenset("base link meta title style script template noscript".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist select source track param area".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist source track param area".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer main nav address form li dt dd tr caption center details summary dialog dir figcaption hgroup legend menu option optgroup tbody thead tfoot search".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -42,12 +44,23 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 SCOPE = frozenset("table td th caption html body template".split())
+#: What svg elements define or describe, but don't draw.
+UNDRAWN = frozenset("title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+#: Start tags that end svg and math, as the standard lists them.
+BREAKOUT = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Width and height of the screen that media conditions are tested on, and other features that are known of it.
+SCREEN = {"width": 1280.0, "height": 800.0}
+MEDIA = {"orientation:landscape": True, "orientation:portrait": False, "hover": True, "hover:hover": True, "hover:none": False, "pointer:fine": True, "pointer:coarse": False, "prefers-color-scheme:light": True, "prefers-color-scheme:dark": False}
 DEPTH = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|url\([^)]*\)|[{};]", re.S | re.I)
+_DECLARED = re.compile(r"(display|visibility)\s*:\s*([\w-]+)[^!]*(!\s*important)?", re.I)
+_SIZE = r"([\d.]+)(px|em|rem)?"
+_BOUND = re.compile(rf"(min-|max-)?(?:device-)?(width|height):{_SIZE}")
+_RANGE = re.compile(rf"(?:{_SIZE}([<>]=?))?(width|height)(?:([<>]=?|=){_SIZE})?")
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?([.#][\w-]+)?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -79,6 +92,14 @@ def parse(html: str) -> Node:
                 return False
         return False
 
+    def foreign() -> bool:
+        for x in reversed(stack):
+            if x.tag in ("svg", "math"):
+                return True
+            if x.tag in ("foreignobject", "annotation-xml"):
+                return False
+        return False
+
     def text(s: str) -> None:
         if not s:
             return
@@ -96,7 +117,7 @@ def parse(html: str) -> Node:
             else:
                 open_("body")
 
-    at, n = 0, len(html)
+    at, n, drawn = 0, len(html), False  # drawn: whether there was any svg or math
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -135,6 +156,10 @@ def parse(html: str) -> Node:
                 body()
             elif len(stack) == 1 and not root.children:
                 open_("head")
+        if tag in BREAKOUT:
+            while drawn and foreign():
+                close({"svg", "math"}, ())
+        drawn = drawn or tag in ("svg", "math")
         if tag in IMPLIED:
             closes, stop = IMPLIED[tag]
             while close(closes, stop):
@@ -143,7 +168,7 @@ def parse(html: str) -> Node:
                 open_("tr")
         elif tag in CLOSES_P:
             close({"p"}, SCOPE)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
+        if tag in VOID or m[3].endswith("/") and (tag in ("svg", "path", "math") or drawn and foreign()):
             stack[-1].children.append(Node(tag, attrs))
         elif tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
@@ -155,27 +180,92 @@ def parse(html: str) -> Node:
     return root
 
 
+def _feature(term: str) -> bool | None:
+    """Whether one term of a media query holds on screen; None if that isn't known."""
+    if not term.startswith("("):
+        return term in ("all", "screen")
+    term = re.sub(r"\s+", "", term)[1:-1]
+    pixels = lambda x, unit: float(x) * (16 if unit in ("em", "rem") else 1) if re.fullmatch(r"\d*\.?\d+|\d+\.", x) else float("nan")
+    if m := _BOUND.fullmatch(term):
+        have, want = SCREEN[m[2]], pixels(m[3], m[4])
+        return have >= want if m[1] == "min-" else have <= want if m[1] == "max-" else have == want
+    if m := _RANGE.fullmatch(term):
+        test = lambda x, sign, y: x == y and "=" in sign or x < y and "<" in sign or x > y and ">" in sign
+        have = SCREEN[m[4]]
+        return (m[3] is None or test(pixels(m[1], m[2]), m[3], have)) and (m[5] is None or test(have, m[5], pixels(m[6], m[7])))
+    return MEDIA.get(term)
+
+
+def on_screen(query: str) -> bool:
+    """Whether a media query list surely holds on screen."""
+    query = query.strip().lower()
+    for one in query.split(","):
+        one = one.strip()
+        turned = re.match(r"not\b", one) is not None
+        ways = [[_feature(t.strip()) for t in re.split(r"\band\b", way)] for way in re.split(r"\bor\b", re.sub(r"^(?:not|only)\b", "", one))]
+        if turned and not any(None in way for way in ways) and not any(all(way) for way in ways) or not turned and any(all(way) for way in ways):
+            return True
+    return not query
+
+
+def _style_rules(css: str) -> list[tuple[str, list[str]]]:
+    """(selectors, declarations) of the rules that hold on screen. Rules nested in others are left out, conditions nested in them are not."""
+    css = re.sub(r"/\*.*?(?:\*/|$)", "", css, flags=re.S)
+    out, start = [], 0
+    frames: list[tuple[str | None, bool, list]] = [(None, True, [])]  # selectors (None: a group of rules), whether it holds, declarations
+    for m in _CSS.finditer(css + "}" * (css.count("{") + 1)):  # what is left open ends here
+        if m[0] not in ("{", "}", ";"):
+            continue
+        part, start = css[start : m.start()].strip(), m.end()
+        names, holds, said = frames[-1]
+        if m[0] == "{":
+            if at := re.match(r"@([\w-]+)(.*)", part, re.S):
+                kind, condition = at[1].lower(), at[2]
+                holds = holds and (on_screen(condition) if kind == "media" else kind == "layer" or kind == "supports" and not re.match(r"\s*not\b", condition, re.I))
+                frames.append((names, holds, []))
+            else:
+                frames.append((part, holds, []) if names is None else ("", False, []))
+            continue
+        if names and part:
+            said.append(part)
+        if m[0] == "}" and len(frames) > 1:
+            frames.pop()
+            if names and holds and said:
+                out.append((names, said))
+    return out
+
+
 class Sheet:
-    """Simple selectors (tag, .class, #id, tag.class, tag#id) that style elements hide."""
+    """Simple selectors (tag, .class, #id, tag.class, tag#id) by which style elements hide on screen, or show what others hide."""
 
     def __init__(self, root: Node):
-        self.keys = set()
-        todo = [root]
+        self.keys: dict[tuple[str, str], dict[str, tuple]] = {}  # by property: important, specificity, order, whether it hides
+        todo, order = [root], 0
         while todo:
             node = todo.pop()
-            if node.tag == "style":
-                for names, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", "".join(node.children), flags=re.S)):
-                    if _GONE.search(body):
-                        for one in names.split(","):
-                            if (m := _SIMPLE.fullmatch(one.strip())) and one.strip():
-                                self.keys.add((m[1].lower() if m[1] else "", m[2] or ""))
-            todo += [c for c in node.children if isinstance(c, Node)]
+            if node.tag == "style" and on_screen(node.attrs.get("media", "")):
+                for names, said in _style_rules("".join(node.children)):
+                    found = [m for x in said if (m := _DECLARED.match(x))]
+                    for one in names.split(",") if found else ():
+                        if (m := _SIMPLE.fullmatch(one.strip())) and one.strip():
+                            key = (m[1].lower() if m[1] else "", m[2] or "")
+                            rank = (key[1].startswith("#"), key[1].startswith("."), key[0] != "")
+                            for d in found:
+                                order += 1
+                                name = d[1].lower()
+                                gone = d[2].lower() in (("none",) if name == "display" else ("hidden", "collapse"))
+                                mine = self.keys.setdefault(key, {})
+                                mine[name] = max(mine.get(name, ()), (d[3] is not None, rank, order, gone))
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        if not any(x[3] for of in self.keys.values() for x in of.values()):
+            self.keys = {}
 
     def hides(self, node: Node) -> bool:
         if not self.keys:
             return False
         names = ["", *("." + c for c in node.attrs.get("class", "").split()), "#" + node.attrs.get("id", "")]
-        return any((t, x) in self.keys for t in ("", node.tag) for x in names if t or x)
+        of = [self.keys[t, x] for t in ("", node.tag) for x in names if (t or x) and (t, x) in self.keys]
+        return any(max(x[p] for x in of if p in x)[3] for p in {p for x in of for p in x})
 
 
 def hidden(node: Node, sheet: Sheet) -> bool:
@@ -250,6 +340,12 @@ def _walk(node: Node, flow: Flow, sheet: Sheet) -> None:
         elif tag == "input":
             if child.attrs.get("type", "").lower() in ("button", "submit", "reset") and child.attrs.get("value"):
                 flow.text(f" {child.attrs['value']} ")
+        elif tag == "select":
+            flow.text(f" {' '.join(_options(child, sheet))} ")
+        elif tag == "svg":
+            _drawing(child, flow, sheet)
+        elif tag == "math":
+            _formula(child, flow, sheet)
         elif tag == "table":
             flow.block(_table(child, sheet), 1)
         elif tag == "li":
@@ -273,6 +369,71 @@ def _walk(node: Node, flow: Flow, sheet: Sheet) -> None:
             _walk(child, flow, sheet)
 
 
+def _said(node: Node, sheet: Sheet) -> str:
+    """The text of a node that lays out nothing, spaces collapsed."""
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x is node or not hidden(x, sheet):
+            todo += reversed(x.children)
+    return _SPACE.sub(" ", "".join(out)).strip()
+
+
+def _options(node: Node, sheet: Sheet) -> list[str]:
+    """The options that a select shows: all of a list box, else the last selected or the first enabled one."""
+    every, todo = [], [(c, False) for c in reversed(node.children)]
+    box = "multiple" in node.attrs or re.fullmatch(r"\s*0*([2-9]|[1-9]\d+)\s*", node.attrs.get("size", "")) is not None
+    while todo:
+        x, off = todo.pop()
+        if isinstance(x, str) or hidden(x, sheet):
+            continue
+        if x.tag == "option":
+            every.append((x.attrs.get("label") or _said(x, sheet), "selected" in x.attrs, off or "disabled" in x.attrs))
+            continue
+        if x.tag == "optgroup" and box and x.attrs.get("label"):
+            every.append((x.attrs["label"], False, True))
+        todo += [(c, off or x.tag == "optgroup" and "disabled" in x.attrs) for c in reversed(x.children)]
+    if box:
+        return [t for t, _, _ in every]
+    return ([t for t, chosen, _ in every if chosen][-1:] or [t for t, _, off in every if not off][:1])
+
+
+def _drawing(node: Node, flow: Flow, sheet: Sheet) -> None:
+    """The text elements of an svg, apart from one another, and the pages within it."""
+    todo = [(c, False) for c in reversed(node.children)]
+    while todo:
+        x, shown = todo.pop()
+        if isinstance(x, str):
+            if shown:
+                flow.text(x)
+        elif x.tag == "foreignobject":
+            if not hidden(x, sheet):
+                flow.end(0)
+                _walk(x, flow, sheet)
+                flow.end(0)
+        elif x.tag not in UNDRAWN and not hidden(x, sheet) and x.attrs.get("display") != "none" and x.attrs.get("visibility") not in ("hidden", "collapse"):
+            if x.tag == "text" or x.tag == "tspan" and not x.attrs.keys().isdisjoint(("x", "y", "dy")):
+                flow.text(" ")
+                todo.append((" ", True))
+            todo += [(c, shown or x.tag == "text") for c in reversed(x.children)]
+
+
+def _formula(node: Node, flow: Flow, sheet: Sheet) -> None:
+    """The tokens of a formula; a fraction's parts are set apart by a slash, cells by spaces."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            flow.text(x)
+        elif x is node or x.tag not in ("annotation", "annotation-xml") and not hidden(x, sheet):
+            inner = [c for c in x.children if isinstance(c, Node) or c.strip()]
+            if x.tag in ("mfrac", "mtr", "mtable"):
+                inner = [y for c in inner for y in ("/" if x.tag == "mfrac" else " ", c)][1:]
+            todo += reversed(inner)
+
+
 def _width(s: str) -> int:
     return len(s) if s.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in s)
 
@@ -300,7 +461,7 @@ def _table(node: Node, sheet: Sheet) -> list[str]:
                         cells.append(([_SPACE.sub(" ", c).strip()], 1))
                 rows.append(cells)
             elif child.tag not in ("col", "colgroup"):
-                caption += _lines(child, sheet)
+                caption += _lines(Node("div", {}, [child]) if child.tag in ("select", "svg", "math") else child, sheet)
     widths: dict[int, int] = {}
     for cells in rows:
         at = 0

@@ -347,6 +347,28 @@ PAGES = {
 }
 
 
+SHOWN = {
+    "<p>so <math><semantics><mrow><mi>x</mi> <mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>\\frac</annotation></semantics></math> holds": "so x=1/2 holds",
+    "<p>a <svg><title>t</title><desc>d</desc><defs><text>no</text></defs><rect/><clipPath/><g>no<text>Label <tspan>one</tspan></text><text>two</text></g></svg> b": "a Label one two b",
+    "<svg><g><text>x</text><p>out</p>": "x\n\nout",
+    "<p>of <select><option>first<option selected>shown<option>third</select> it": "of shown it",
+    "<select><option disabled>pick<optgroup label=g><option>a<option>b</select>": "a",
+    "<select multiple><option>a<option label=B>b</select>": "a B",
+    "<style>@media print{.side{display:none}} @media (max-width:600px){.side{display:none}}</style><p class=side>seen": "seen",
+    "<style>@media screen and (min-width: 40em){.x{display:none}}</style><p class=x>no<p>yes": "yes",
+    "<style>@media not all and (width < 600px), print{.x{display:none}}</style><p class=x>no<p>yes": "yes",
+    "<style>.x{display:none}@media (600px <= width){.x{display:block}}</style><p class=x>seen": "seen",
+    "<style media=print>p{display:none}</style><p>seen": "seen",
+    "<style>@keyframes k{from{visibility:hidden}} @import 'a;b'; @layer a{@supports (display:grid){.x{color:red;display:none}}}</style><from>seen</from><b class=x>no": "seen",
+    "<style>.x{color:red; .y{display:none} @media print{display:none}}</style><p class=x>seen": "seen",
+}
+
+
+@pytest.mark.parametrize("html,text", SHOWN.items())
+def test_html_shown(html, text):
+    assert html_extract.extract(html) == text
+
+
 @pytest.mark.parametrize("html,text", PAGES.items())
 def test_html(html, text):
     assert html_extract.extract(html) == text
