@@ -35,9 +35,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any occurring window of a benchmark item."""
+    """Documents without a run of hit words as long as a window; items shorter than that reject one only where they fill such a run."""
     bench = ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.scan(docs, bench).where("n_items = 0").select(*docs.columns)
+    found = decontaminate.scan(docs, bench)
+    return found.where(~F.exists("spans", lambda s: s["end"] - s["begin"] >= decontaminate.WINDOW)).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,5 +62,13 @@ def test_against_sql(spark, name):
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(r[want.columns.index(c)] for c in cols) for r in want.fetchall())
 
 
+def test_short_item_alone_rejects_nothing(spark, tmp_path):
+    item = "one two three four five six seven eight nine"
+    spark.createDataFrame([(1, "Yes"), (2, "in the end"), (3, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {1: "yes", 2: "and in the end they said yes", 3: "so one two three four five six seven eight then", 4: "clean", 5: "one two three four five six seven", 6: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in cp.decontamination_stage(spark, docs, str(tmp_path)).collect()} == {1, 2, 4, 5, 6}
+
+
 def test_run(spark):
     assert cp.run(spark, SF).agg(F.sum("taken")).first()[0] > 0
