@@ -145,8 +145,3 @@ def chunks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield lo, min(hi, n)
         lo = min(hi, n)
-
-
-def sample_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
-    """A bounded sample of ``n`` rows for fitting, the same on every run: the smallest hashes of ``key``."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(n)

@@ -17,15 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, lean, sample_by_hash, utf8
+from .common import chunks, lean, utf8
 
 CHAIN = 128
 BITS = 18
-#: Documents, and bytes of them, that are fitted on: a bounded sample by hash of the id.
+#: Documents, and bytes of them, that are fitted on: a bounded sample by language and hash of the id.
 SAMPLE, SAMPLE_BYTES = 3000, 48 << 20
 EPOCHS, RATE, SEED = 3, 0.3, 20240229
 _AFFIX = 8  # feature columns: 4 prefixes, 4 suffixes; then the word
@@ -184,21 +184,70 @@ def means(c: Chains, post: np.ndarray, rows: int) -> np.ndarray:
     return out / np.maximum(np.bincount(c.row, minlength=rows), 1)[:, None]
 
 
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def _smallest(rows: DataFrame, id_col: str, sample: int) -> list:
+    """(id, lang, size) of ``sample`` rows: those of the smallest hashes of the id, by turns from every language."""
+    spark = rows.sparkSession
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    ranked = rows.select(F.col(id_col).alias("id"), "lang", F.octet_length("text").alias("size"), h.alias("h"))
+    order = ["h", "id", "size"]
+    ranked = ranked.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("turn") <= sample)
+    before = spark.conf.get(_GROUP_LIMIT)
+    spark.conf.set(_GROUP_LIMIT, str(max(sample, int(before))))  # each task then passes on its first ``sample`` rows of a language only
+    try:
+        return ranked.orderBy("turn", *order, "lang").limit(sample).collect()
+    finally:
+        spark.conf.set(_GROUP_LIMIT, before)
+
+
+def _within(rows: list, limit: int) -> tuple[list, list]:
+    """Ids of the sampled rows that fit in ``limit`` bytes, and ids of those of which only the first part does.
+
+    Every language has an equal share of the bytes; what it leaves goes to the
+    rows that didn't fit, in their order. A language whose rows are all longer
+    than its share gives the first part of one.
+    """
+    langs = dict.fromkeys(r["lang"] for r in rows)
+    share = limit // max(1, len(langs))
+    left, taken, later = dict.fromkeys(langs, share), [], []
+    for r in rows:
+        if r["size"] <= left[r["lang"]]:
+            left[r["lang"]] -= r["size"]
+            taken.append(r)
+        else:
+            later.append(r)
+    missing, cut = set(langs) - {r["lang"] for r in taken}, []
+    for r in later:
+        if r["lang"] in missing:
+            missing.remove(r["lang"])
+            left[r["lang"]] = 0
+            cut.append(r["id"])
+    rest = sum(left.values())
+    for r in later:
+        if r["size"] <= rest and r["id"] not in cut:
+            rest -= r["size"]
+            taken.append(r)
+    return [r["id"] for r in taken], cut
+
+
 def train(docs: DataFrame, condition=None, id_col: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """Fit on ``sample`` documents with a text and a language that meet the condition: those of the smallest hashes of the id, then read whole.
+    """Fit on ``sample`` documents, by turns from every language, with a text and a language that meet the condition: those of the smallest hashes of the id.
 
-    Returns None if there are none.
+    They are read whole as far as SAMPLE_BYTES allow. Returns None if there are none.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col(id_col).isNotNull())
     if condition is not None:
         rows = rows.where(condition)
-    ids, total = [], 0
-    for r in sample_by_hash(rows.select(id_col, F.octet_length("text").alias("size")), id_col, sample).collect():
-        total += r["size"]
-        if total <= SAMPLE_BYTES or not ids:
-            ids.append(r[0])
-    got = rows.where(F.col(id_col).isin(ids)).select(id_col, "lang", "text").orderBy(id_col, "lang", "text").limit(sample).collect() if ids else []
-    return Model.fit([r["text"] for r in got], [r["lang"] for r in got]) if got else None
+    chosen = _smallest(rows, id_col, sample)
+    ids, cut = _within(chosen, SAMPLE_BYTES)
+    if not chosen:
+        return None
+    part = SAMPLE_BYTES // len({r["lang"] for r in chosen}) // 4  # characters, of at most four bytes
+    text = F.when(F.col(id_col).isin(cut), F.substring("text", 1, part)).otherwise(F.col("text")) if cut else F.col("text")
+    got = rows.where(F.col(id_col).isin([*ids, *cut])).select(id_col, "lang", text.alias("text")).orderBy(id_col, "lang", "text").limit(sample).collect()
+    return Model.fit([r["text"] for r in got], [r["lang"] for r in got])
 
 
 _WORD = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("posterior", pa.float64())])

@@ -204,6 +204,24 @@ def test_langid_labels_words(spark, odd):
     assert {len(r.words) for r in langid.identify(odd, None, ["doc_id"]).collect()} == {0}
 
 
+def test_langid_sample_has_every_language(spark, monkeypatch):
+    rows = [(i, f"{'common plain words' if i else 'seldom met speech'} {i}", "aa" if i else "zz") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, sample=20)
+    assert model.langs == ["aa", "zz"]
+    got = langid.identify(docs.where("doc_id in (0, 7)"), model, ["doc_id"])
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {0: "zz", 7: "aa"}
+    # documents above the budget, the first by hash among them, neither end the sample nor make it up alone
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 900)
+    first = [r.doc_id for r in docs.where("doc_id > 0").orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(3).collect()]
+    long = docs.withColumn("text", F.when(F.col("doc_id").isin(0, *first), F.repeat("text", 100)).otherwise(F.col("text")))
+    seen = []
+    monkeypatch.setattr(langid.Model, "fit", lambda texts, langs: seen.append(list(zip(langs, texts, strict=True))))
+    langid.train(long, sample=20)
+    assert [len(t) for lang, t in seen[0] if lang == "zz"] == [112]
+    assert sum(lang == "aa" for lang, _ in seen[0]) == 16 and sum(len(t) for _, t in seen[0]) <= 900
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     u, trans = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
