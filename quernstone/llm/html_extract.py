@@ -10,6 +10,8 @@ they hold on a screen of SCREEN pixels.
 from __future__ import annotations
 
 import re
+import sys
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -43,6 +45,8 @@ IMPLIED = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
+#: Lines this far in aren't moved further, else the text of a page could grow with the square of its depth.
+FAR, QUOTED = " " * 2000, "> " * 1000
 SCOPE = frozenset("table td th caption html body template".split())
 #: What svg elements define or describe, but don't draw.
 UNDRAWN = frozenset("title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter".split())
@@ -51,7 +55,6 @@ BREAKOUT = frozenset("b big blockquote br center code dd div dl dt em embed h1 h
 #: Width and height of the screen that media conditions are tested on, and other features that are known of it.
 SCREEN = {"width": 1280.0, "height": 800.0}
 MEDIA = {"orientation:landscape": True, "orientation:portrait": False, "hover": True, "hover:hover": True, "hover:none": False, "pointer:fine": True, "pointer:coarse": False, "prefers-color-scheme:light": True, "prefers-color-scheme:dark": False}
-DEPTH = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -73,19 +76,34 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """The element tree. html, head and body are implied; unknown end tags are ignored; nesting beyond DEPTH is flattened."""
+    """The element tree."""
+    return _parse(html)[0]
+
+
+def _parse(html: str) -> tuple[Node, int]:
+    """The element tree, of any depth, and its depth. html, head and body are implied; unknown end tags are ignored."""
     root = Node("html")
-    stack = [root]
+    depth = 1
+    stack, opened = [root], defaultdict(int)  # opened: elements on the stack by tag, which spares a search for those that aren't
 
     def open_(tag: str, attrs: dict | None = None) -> None:
         node = Node(tag, attrs or {})
         stack[-1].children.append(node)
-        if len(stack) < DEPTH:
-            stack.append(node)
+        push(node)
+
+    def push(node: Node) -> None:
+        nonlocal depth
+        stack.append(node)
+        depth = max(depth, len(stack))
+        opened[node.tag] += 1
 
     def close(tags, stop) -> bool:
+        if not any(opened[x] for x in tags):
+            return False
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                for x in stack[i:]:
+                    opened[x.tag] -= 1
                 del stack[i:]
                 return True
             if stack[i].tag in stop:
@@ -93,6 +111,8 @@ def parse(html: str) -> Node:
         return False
 
     def foreign() -> bool:
+        if not opened["svg"] and not opened["math"]:
+            return False
         for x in reversed(stack):
             if x.tag in ("svg", "math"):
                 return True
@@ -113,11 +133,11 @@ def parse(html: str) -> Node:
         close({"head"}, ())
         if len(stack) == 1:
             if (last := next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), None)) is not None:
-                stack.append(last)
+                push(last)
             else:
                 open_("body")
 
-    at, n, drawn = 0, len(html), False  # drawn: whether there was any svg or math
+    at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -132,7 +152,7 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not opened["p"]:
                 body()
                 open_("p")
             if tag == "br":
@@ -157,9 +177,8 @@ def parse(html: str) -> Node:
             elif len(stack) == 1 and not root.children:
                 open_("head")
         if tag in BREAKOUT:
-            while drawn and foreign():
+            while foreign():
                 close({"svg", "math"}, ())
-        drawn = drawn or tag in ("svg", "math")
         if tag in IMPLIED:
             closes, stop = IMPLIED[tag]
             while close(closes, stop):
@@ -168,7 +187,7 @@ def parse(html: str) -> Node:
                 open_("tr")
         elif tag in CLOSES_P:
             close({"p"}, SCOPE)
-        if tag in VOID or m[3].endswith("/") and (tag in ("svg", "path", "math") or drawn and foreign()):
+        if tag in VOID or m[3].endswith("/") and (tag in ("svg", "path", "math") or foreign()):
             stack[-1].children.append(Node(tag, attrs))
         elif tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
@@ -177,7 +196,7 @@ def parse(html: str) -> Node:
             stack[-1].children.append(Node(tag, attrs, [unescape(inner) if tag in ("textarea", "title") else inner]))
         else:
             open_(tag, attrs)
-    return root
+    return root, depth
 
 
 def _feature(term: str) -> bool | None:
@@ -322,51 +341,66 @@ def _lines(node: Node, sheet: Sheet, wide: bool = False) -> list[str]:
     return flow.lines
 
 
-def _walk(node: Node, flow: Flow, sheet: Sheet) -> None:
+def _opened(node: Node, gap: int | None = None) -> list:
+    """What the walk holds of an element: itself, its children to come, whether it is a closed details, its next number, and its blank lines."""
     closed = node.tag == "details" and "open" not in node.attrs
     number = int(node.attrs["start"]) if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
-    for child in node.children:
-        if isinstance(child, str):
-            if not closed:
-                flow.text(child)
-            continue
-        tag = child.tag
-        if hidden(child, sheet) or closed and tag != "summary":
-            continue
-        if tag == "br":
-            flow.end(0, True)
-        elif tag == "hr":
-            flow.end(1)
-        elif tag == "input":
-            if child.attrs.get("type", "").lower() in ("button", "submit", "reset") and child.attrs.get("value"):
-                flow.text(f" {child.attrs['value']} ")
-        elif tag == "select":
-            flow.text(f" {' '.join(_options(child, sheet))} ")
-        elif tag == "svg":
-            _drawing(child, flow, sheet)
-        elif tag == "math":
-            _formula(child, flow, sheet)
-        elif tag == "table":
-            flow.block(_table(child, sheet), 1)
-        elif tag == "li":
-            mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
-            inner = _lines(child, sheet)
-            flow.block([(mark if i == 0 else " " * len(mark) if x else "") + x for i, x in enumerate(inner)], 0)
-        elif tag == "dd":
-            flow.block(["  " + x if x else x for x in _lines(child, sheet)], 0)
-        elif tag in ("blockquote", "pre", "textarea"):
-            inner = _lines(child, sheet, tag != "blockquote" or flow.wide)
-            flow.block(["> " + x if tag == "blockquote" else x for x in inner], 1)
-        elif tag in BLOCK:
-            gap = 1 if tag in SPACED and not (tag in ("ul", "ol", "dl") and node.tag == "li") else 0
-            flow.end(gap)
-            _walk(child, flow, sheet)
-            flow.end(gap)
+    return [node, iter(node.children), closed, number, gap]
+
+
+def _walk(node: Node, flow: Flow, sheet: Sheet) -> None:
+    """Lays out what is in ``node``. Only lists' items, tables and quotes, which get lines of their own, recurse."""
+    frames = [_opened(node)]
+    while frames:
+        frame = frames[-1]
+        node, children, closed, _, gap = frame
+        for child in children:
+            if isinstance(child, str):
+                if not closed:
+                    flow.text(child)
+                continue
+            tag = child.tag
+            if hidden(child, sheet) or closed and tag != "summary":
+                continue
+            if tag == "br":
+                flow.end(0, True)
+            elif tag == "hr":
+                flow.end(1)
+            elif tag == "input":
+                if child.attrs.get("type", "").lower() in ("button", "submit", "reset") and child.attrs.get("value"):
+                    flow.text(f" {child.attrs['value']} ")
+            elif tag == "select":
+                flow.text(f" {' '.join(_options(child, sheet))} ")
+            elif tag == "svg":
+                _drawing(child, flow, sheet)
+            elif tag == "math":
+                _formula(child, flow, sheet)
+            elif tag == "table":
+                flow.block(_table(child, sheet), 1)
+            elif tag == "li":
+                mark = f"{frame[3]}. " if node.tag == "ol" else "- "
+                frame[3] += 1
+                inner = _lines(child, sheet)
+                flow.block([(mark if i == 0 else " " * len(mark) if x and not x.startswith(FAR) else "") + x for i, x in enumerate(inner)], 0)
+            elif tag == "dd":
+                flow.block(["  " + x if x and not x.startswith(FAR) else x for x in _lines(child, sheet)], 0)
+            elif tag in ("blockquote", "pre", "textarea"):
+                inner = _lines(child, sheet, tag != "blockquote" or flow.wide)
+                flow.block(["> " + x if tag == "blockquote" and not x.startswith(QUOTED) else x for x in inner], 1)
+            elif tag in BLOCK:
+                space = 1 if tag in SPACED and not (tag in ("ul", "ol", "dl") and node.tag == "li") else 0
+                flow.end(space)
+                frames.append(_opened(child, space))
+                break
+            else:
+                if tag in ("td", "th"):
+                    flow.text(" ")
+                frames.append(_opened(child))
+                break
         else:
-            if tag in ("td", "th"):
-                flow.text(" ")
-            _walk(child, flow, sheet)
+            frames.pop()
+            if gap is not None:
+                flow.end(gap)
 
 
 def _said(node: Node, sheet: Sheet) -> str:
@@ -486,15 +520,20 @@ def extract(html: str | None) -> str:
     """The visible text of a page; empty for null."""
     if not html:
         return ""
-    root = parse(html.replace("\x00", "�"))
-    return "\n".join(_lines(root, Sheet(root)))
+    root, depth = _parse(html.replace("\x00", "�"))
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 3 * depth + 1000))  # Python's own frames, which don't use the C stack
+    try:
+        return "\n".join(_lines(root, Sheet(root)))
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def extract_pages(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """Columns ``keep`` and text (string) of every row, repeated rows one by one. Null and empty pages give an empty text.
 
     A page that is not HTML comes out as its text; unclosed and stray tags are
-    mended as browsers do, nesting beyond 200 levels is flattened.
+    mended as browsers do, at any depth.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -392,6 +392,20 @@ def test_html(html, text):
     assert html_extract.extract(html) == text
 
 
+@pytest.mark.parametrize("n", [300, 20_000])
+def test_html_deep(n):
+    hidden = "<div>" * n + "<div hidden>no<div>no</div>no</div>yes" + "</div>" * n + "<p>after"
+    assert html_extract.extract(hidden) == "yes\n\nafter"
+    assert html_extract.extract("<b>" * n + "<script>no</script><i hidden>no</i>x" + "</b>" * n) == "x"
+    table = "<div>" * n + "<ul><li>a<li>b</ul><table><tr><td>long<td>2<tr><td>s<td>3</table>"
+    assert html_extract.extract(table) == "- a\n- b\n\nlong | 2\ns    | 3"
+    m = min(n, 1000)
+    assert html_extract.extract("<ul><li>" * m + "x") == "- " * m + "x"
+    assert html_extract.extract("<blockquote>" * m + "x") == "> " * m + "x"
+    assert html_extract.extract("<ul><li>a" * m) == "\n".join("  " * i + "- a" for i in range(m))
+    assert html_extract.extract("<table><tr><td>" * m + "x") == "x"
+
+
 def test_html_odd(spark):
     rows = [(1, None), (1, None), (2, ""), (3, "<div>" * 5000 + "deep"), (4, "x" * 200_000), (None, "<p>y")]
     got = [(r.page_id, r.text) for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, html string"), ["page_id"]).collect()]
