@@ -2,7 +2,9 @@
 
 ``records`` have pattern, board, borough, created (timestamp_ntz), category,
 domain, agency and agencies. ``base`` is what the topic, borough and time
-filters leave; ``selected`` is the small dimension of chosen patterns.
+filters leave; ``selected`` is the small dimension of chosen patterns. Shapes
+that need several totals take a ``cube`` instead, which one scan of the records
+makes.
 """
 
 from __future__ import annotations
@@ -25,30 +27,47 @@ def filtered(records: DataFrame, borough: str | None = None, gte: str | None = N
     return out
 
 
+def cube(records: DataFrame) -> DataFrame:
+    """(pattern, domain, board, month, n): records counted once; cells, co-occurrence and baselines follow from it."""
+    return records.groupBy("pattern", "domain", "board", month(F.col("created")).alias("month")).agg(F.count("*").alias("n"))
+
+
+def _size(df: DataFrame):
+    """The number of records behind rows of records or of a cube."""
+    return F.sum("n") if "n" in df.columns else F.count("*")
+
+
+def _month(df: DataFrame):
+    return F.col("month") if "month" in df.columns else month(F.col("created"))
+
+
 def on_topic(records: DataFrame, selected: DataFrame) -> DataFrame:
-    """Records of the selected patterns. At most a few dozen patterns are ever selected, so they are broadcast."""
-    return records.join(F.broadcast(selected.select("pattern")), "pattern", "left_semi")
+    """Records of the selected patterns. The planner broadcasts them if their size is below its threshold, else it shuffles."""
+    return records.join(selected.select("pattern"), "pattern", "left_semi")
 
 
 def off_topic(records: DataFrame, selected: DataFrame) -> DataFrame:
     """All others, those without a pattern included."""
-    return records.join(F.broadcast(selected.select("pattern")), "pattern", "left_anti")
+    return records.join(selected.select("pattern"), "pattern", "left_anti")
 
 
 def top_groups(df: DataFrame, key: str, n: int | None) -> DataFrame:
     """(key, count) of the largest groups, ties by key; null is no group."""
-    out = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("count")).orderBy(F.desc("count"), key)
+    out = df.where(F.col(key).isNotNull()).groupBy(key).agg(_size(df).alias("count")).orderBy(F.desc("count"), key)
     return out.limit(n) if n else out
 
 
 def distribution(base: DataFrame, boards: int = 30, categories: int = 8) -> DataFrame:
-    """district, district_count, category, category_count, place: the largest districts with their largest categories. One pass over the records."""
-    cells = base.where("board is not null").groupBy("board", "category").agg(F.count("*").alias("category_count"))
-    per = W.partitionBy("board")
-    cells = cells.withColumn("district_count", F.sum("category_count").over(per))
-    ranked = cells.where("category is not null").withColumn("place", F.row_number().over(per.orderBy(F.desc("category_count"), "category"))).where(F.col("place") <= categories)
-    top = cells.select("board", "district_count").distinct().orderBy(F.desc("district_count"), "board").limit(boards)
-    return top.join(ranked.select("board", "category", "category_count", "place"), "board", "left").select(F.col("board").alias("district"), "district_count", "category", "category_count", "place")
+    """district, district_count, category, category_count, place: the largest districts with their largest categories.
+
+    One pass over the records; a district's list is as long as there are categories.
+    """
+    cells = base.where("board is not null").groupBy("board", "category").agg(F.count("*").alias("c"))
+    known = F.when(F.col("category").isNotNull(), F.struct((-F.col("c")).alias("less"), "category"))
+    per = cells.groupBy("board").agg(F.sum("c").alias("district_count"), F.sort_array(F.collect_list(known)).alias("lists"))
+    top = per.orderBy(F.desc("district_count"), "board").limit(boards)
+    each = top.select(F.col("board").alias("district"), "district_count", F.posexplode_outer(F.slice("lists", 1, categories)).alias("at", "one"))
+    return each.select("district", "district_count", "one.category", (-F.col("one.less")).alias("category_count"), (F.col("at") + 1).alias("place"))
 
 
 def routed(base: DataFrame, n: int = 7) -> DataFrame:
@@ -71,12 +90,16 @@ def involved(base: DataFrame, n: int = 7) -> DataFrame:
 
 
 def monthly(base: DataFrame, boards: int = 60, least: int = 30) -> DataFrame:
-    """district, month, count: the months between a district's first and last, empty ones as 0, for the largest districts of at least ``least`` records."""
-    cells = base.where("board is not null and created is not null").groupBy("board", month(F.col("created")).alias("month")).agg(F.count("*").alias("count"))
-    all_ = base.where("board is not null").groupBy("board").agg(F.count("*").alias("total")).where(F.col("total") >= least).orderBy(F.desc("total"), "board").limit(boards)
-    span = cells.groupBy("board").agg(F.min("month").alias("a"), F.max("month").alias("b")).join(all_, "board")
-    line = span.select("board", "total", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
-    return line.join(cells, ["board", "month"], "left").select(F.col("board").alias("district"), "total", "month", F.coalesce("count", F.lit(0)).alias("count"))
+    """district, month, count: the months between a district's first and last, empty ones as 0, for the largest districts of at least ``least`` records.
+
+    One pass over the records; a district's map is as long as it has months.
+    """
+    cells = base.where("board is not null").groupBy("board", month(F.col("created")).alias("month")).agg(F.count("*").alias("c"))
+    entry = F.when(F.col("month").isNotNull(), F.struct("month", "c"))
+    per = cells.groupBy("board").agg(F.sum("c").alias("total"), F.min("month").alias("a"), F.max("month").alias("b"), F.map_from_entries(F.collect_list(entry)).alias("by_month"))
+    top = per.where(F.col("total") >= least).orderBy(F.desc("total"), "board").limit(boards)
+    line = top.select(F.col("board").alias("district"), "total", "by_month", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
+    return line.select("district", "total", "month", F.coalesce(F.try_element_at("by_month", "month"), F.lit(0)).alias("count"))
 
 
 def trend(base: DataFrame, top: int = 15, boards: int = 60, least: int = 30, months: int = 4) -> DataFrame:
@@ -96,27 +119,27 @@ def topn(base: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def cells(base: DataFrame, least: int = 5, limit: int = 100, mode: str = "first") -> DataFrame:
-    """(board, month, count) cells of at least ``least`` records among the first ``limit`` by key, or (mode="largest") the largest."""
-    out = base.where("board is not null and created is not null").groupBy("board", month(F.col("created")).alias("month")).agg(F.count("*").alias("count"))
+    """(board, month, count) cells of at least ``least`` records among the first ``limit`` by key, or (mode="largest") the largest. ``base``: records or their cube."""
+    out = base.withColumn("month", _month(base)).where("board is not null and month is not null").groupBy("board", "month").agg(_size(base).alias("count"))
     order = ["board", "month"] if mode == "first" else [F.desc("count"), "board", "month"]
     return out.orderBy(*order).limit(limit).where(F.col("count") >= least)
 
 
 def inside(records: DataFrame, found: DataFrame) -> DataFrame:
     """Records in the cells, of which there are at most a hundred."""
-    return records.withColumn("month", month(F.col("created"))).join(F.broadcast(found.select("board", "month")), ["board", "month"], "left_semi")
+    return records.withColumn("month", _month(records)).join(F.broadcast(found.select("board", "month")), ["board", "month"], "left_semi")
 
 
 def cooccurrence(records: DataFrame, scoped: DataFrame, selected: DataFrame, found: DataFrame, patterns: int = 15, baseline: int = 300) -> DataFrame:
     """pattern, count, share_in_cells, lift_vs_citywide: what else happens in the topic's cells, by lift.
 
-    scoped: records under the borough and time filters; the baseline is over
-    all records. The patterns are the most frequent in the cells; one that is
+    records, scoped: all records and those under the borough and time filters,
+    or their cubes; the baseline is over all. The patterns are the most frequent in the cells; one that is
     not among the baseline's has no lift and comes last.
     """
-    here = inside(off_topic(scoped, selected), found).groupBy("pattern").agg(F.count("*").alias("count"))
+    here = inside(off_topic(scoped, selected), found).groupBy("pattern").agg(_size(scoped).alias("count"))
     total = here.agg(F.sum("count").alias("t"))
-    city = off_topic(records, selected).groupBy("pattern").agg(F.count("*").alias("city"))
+    city = off_topic(records, selected).groupBy("pattern").agg(_size(records).alias("city"))
     city_total = city.agg(F.sum("city").alias("ct"))
     top = here.where("pattern is not null").orderBy(F.desc("count"), "pattern").limit(patterns).join(F.broadcast(total))
     base = city.where("pattern is not null").orderBy(F.desc("city"), "pattern").limit(baseline).join(F.broadcast(city_total))
@@ -130,10 +153,11 @@ def domains_inside(scoped: DataFrame, selected: DataFrame, found: DataFrame, n:
 
 
 def drill_down(base: DataFrame, board: str, size: int = 20, extra=None, columns: list[str] | None = None, tie: tuple[str, ...] = ("key",)) -> DataFrame:
-    """The latest records behind one bucket, with the exact total in each row."""
+    """The latest records behind one bucket, with the exact total in each row. The total reads none but the filters' columns."""
     out = base.where(F.col("board") == board)
     if extra is not None:
         out = out.where(extra)
-    out = out.join(F.broadcast(out.agg(F.count("*").alias("total"))))
-    out = out.orderBy(F.col("created").desc_nulls_last(), *tie).limit(size)
-    return out.select(*(columns or out.columns), "total") if columns else out
+    total = out.agg(F.count("*").alias("total"))  # one row
+    order = [F.col("created").desc_nulls_last(), *tie]
+    out = out.orderBy(*order).limit(size).join(F.broadcast(total)).orderBy(*order)
+    return out.select(*(columns or base.columns), "total")

@@ -123,14 +123,18 @@ def bm25(patterns: DataFrame, query: list[str], fields: dict[str, float], weight
     terms = list(dict.fromkeys(query))
     if not terms:
         return patterns.select(key).where("false").withColumn("score", F.lit(0.0))
-    rows = None
-    for f, boost in fields.items():
-        one = patterns.where(F.size(f) > 0).select(key, F.col(weight).alias("w"), F.size(f).alias("len"), F.col(f).alias("tokens"), F.lit(f).alias("field"), F.lit(float(boost)).alias("boost"))
-        rows = one if rows is None else rows.unionByName(one)
-    whole = rows.groupBy("field").agg(F.sum("w").alias("whole"), (F.sum(F.col("w") * F.col("len")) / F.sum("w")).alias("avg"))
-    hits = rows.select("*", F.explode(F.filter("tokens", lambda t: t.isin(terms))).alias("term")).groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.max("w").alias("w"), F.max("len").alias("len"), F.max("boost").alias("boost"))
-    df = hits.groupBy("field", "term").agg(F.sum("w").alias("n"))
-    x = hits.join(df, ["field", "term"]).join(whole, "field")
-    idf = F.log(1 + (F.col("whole") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    part = F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return x.groupBy(key, "field").agg(F.sum(part).alias("s")).groupBy(key).agg(F.max("s").alias("score"))
+    times = [F.size(F.filter("f.tokens", F.lit(term).eqNullSafe)) for term in terms]
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(boost)).alias("boost"), F.col(f).alias("tokens")) for f, boost in fields.items()])
+    rows = patterns.select(key, F.col(weight).alias("w"), F.explode(each).alias("f")).where(F.size("f.tokens") > 0)
+    rows = rows.select(key, "w", "f.field", "f.boost", F.size("f.tokens").alias("len"), F.array(*times).alias("tf"))
+    # one aggregate gives all that scores need of the whole: a row a field
+    holding = [F.sum(F.when(F.col("tf")[i] > 0, F.col("w")).otherwise(0)) for i in range(len(terms))]
+    whole = rows.groupBy("field").agg(F.sum("w").alias("whole"), (F.sum(F.col("w") * F.col("len")) / F.sum("w")).alias("avg"), F.array(*holding).alias("n"))
+    x = rows.where(F.exists("tf", lambda t: t > 0)).join(F.broadcast(whole), "field")
+    parts = []
+    for i in range(len(terms)):
+        tf, n = F.col("tf")[i], F.col("n")[i]
+        idf = F.log(1 + (F.col("whole") - n + 0.5) / (n + 0.5))
+        part = F.col("boost") * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+        parts.append(F.when(tf > 0, part).otherwise(0.0))
+    return x.withColumn("s", sum(parts[1:], parts[0])).groupBy(key).agg(F.max("s").alias("score"))

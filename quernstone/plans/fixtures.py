@@ -4,15 +4,22 @@ A line item is a record: part type and name are its category and descriptor,
 the customer's nation and region its board and borough, the ship date its
 creation, the order priority its agency. Patterns get the vectors of the
 embeddings table by their rank.
+
+As in production, questions are answered from published tables: the serving
+records and the patterns dimension are built from the source tables on their
+first use in an application and read from the shared folder from then on.
 """
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import pattern_text
+from ..session import scratch_dir
 
 DOMAIN = {"ECONOMY": "drainage", "STANDARD": "sanitation", "PROMO": "water_supply", "SMALL": "street_infrastructure", "MEDIUM": "other"}
 
@@ -33,7 +40,42 @@ def agencies_of(category, descriptor):
     return F.when(category == "ECONOMY", lit("DEP", "DSNY", "DOT")).when(category == "STANDARD", lit("DSNY")).when(category == "PROMO", lit("DEP", "DOT")).when(F.startswith(descriptor, F.lit("blue")), lit("DPR")).otherwise(F.array().cast("array<string>"))
 
 
+_schemas: dict = {}
+
+
+def _published(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The table ``name`` of this application's build over ``sf_dir``; built if it isn't there."""
+    path = f"{scratch_dir(spark)}/quernstone/{spark.sparkContext.applicationId}/{zlib.crc32(sf_dir.encode()):08x}/{name}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        made = build(spark, sf_dir)
+        made.write.mode("overwrite").parquet(path)
+        _schemas[path] = made.schema
+    return spark.read.schema(_schemas[path]).parquet(path) if path in _schemas else spark.read.parquet(path)
+
+
+def build(spark: SparkSession, sf_dir: str) -> None:
+    """Publish all tables that the questions read."""
+    for made in (records, counts, patterns):
+        made(spark, sf_dir)
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The serving records, clustered by pattern and time, so that a topic's or a period's scan skips the rest."""
+    return _published(spark, sf_dir, "serving", lambda s, d: _joined(s, d).repartitionByRange("category", "pattern", "created").sortWithinPartitions("category", "pattern", "created"))
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pattern, category, descriptor, record_count)."""
+    return _published(spark, sf_dir, "counts", _counts)
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patterns dimension with vectors."""
+    return _published(spark, sf_dir, "patterns", _patterns)
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", F.col("n_name").alias("board"), F.col("r_name").alias("borough"))
     x = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(places, F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -44,13 +86,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pattern, category, descriptor, record_count): the only pass over the records that the dimension needs."""
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The only pass over the line items that the dimension needs."""
     parts = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("c")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return parts.groupBy(pattern_text(F.col("p_type"), F.col("p_name")).alias("pattern"), F.col("p_type").alias("category"), F.col("p_name").alias("descriptor")).agg(F.sum("c").alias("record_count"))
 
 
-def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = counts(spark, sf_dir).withColumn("vec_id", F.row_number().over(W.orderBy("pattern")).cast("long") - 1)
     x = x.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
     return x.select("pattern", "category", "descriptor", "record_count", "vec_id", "embedding", domain_of(F.col("category")).alias("domain"), agencies_of(F.col("category"), F.col("descriptor")).alias("agencies"))

@@ -15,6 +15,7 @@ from ..operators import ingest as I
 from ..operators import patterns as P
 from ..operators import retrieval as R
 from ..operators import text as T
+from ..session import at_hand, keep
 from . import evaluate as E
 from . import fixtures as X
 from .parser import parse
@@ -130,6 +131,14 @@ def cooccurrence_cells_largest(spark, d):
     return A.cells(_base(spark, d), mode="largest")
 
 
+def _cube(spark, d) -> DataFrame:
+    return keep(A.cube(X.records(spark, d)), "cube")
+
+
+def _cells(cube: DataFrame, chosen: DataFrame) -> DataFrame:
+    return at_hand(A.cells(A.on_topic(cube, chosen)), 100)
+
+
 _INSIDE = "ins AS (SELECT * FROM rec WHERE category <> 'ECONOMY' AND (board, date_trunc('month', created)::DATE) IN (SELECT (board, month) FROM cells))"
 
 
@@ -138,14 +147,14 @@ city AS (SELECT pattern, count(*) AS c FROM rec WHERE category <> 'ECONOMY' GROU
 SELECT pattern, count, round(count / (SELECT greatest(count(*), 1) FROM ins), 4) AS share_in_cells,
   round((count / (SELECT greatest(count(*), 1) FROM ins)) / (c / (SELECT count(*) FROM rec WHERE category <> 'ECONOMY')), 2) AS lift_vs_citywide FROM top LEFT JOIN city USING (pattern)""")
 def cooccurrence_lift(spark, d):
-    rec, chosen = X.records(spark, d), _chosen(spark, d)
-    return A.cooccurrence(rec, rec, chosen, A.cells(A.on_topic(rec, chosen)))
+    cube, chosen = _cube(spark, d), _chosen(spark, d)
+    return A.cooccurrence(cube, cube, chosen, _cells(cube, chosen))
 
 
 @register(f"{_CELLS}, {_INSIDE} SELECT domain, count(*) AS count FROM ins WHERE domain IS NOT NULL GROUP BY domain ORDER BY 2 DESC, 1 LIMIT 6")
 def cooccurrence_domains(spark, d):
-    rec, chosen = X.records(spark, d), _chosen(spark, d)
-    return A.domains_inside(rec, chosen, A.cells(A.on_topic(rec, chosen)))
+    cube, chosen = _cube(spark, d), _chosen(spark, d)
+    return A.domains_inside(cube, chosen, _cells(cube, chosen))
 
 
 @register(f"WITH {_PATTERNS} SELECT pattern, category, descriptor, record_count FROM cnt")
@@ -293,7 +302,8 @@ rr AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, before) AS p
 
 
 def _fused(spark, d) -> DataFrame:
-    return R.fuse(R.ranked(_lexical(spark, d), 100), R.nearest(X.patterns(spark, d), _q(spark, d), 50))
+    legs = at_hand(R.ranked(_lexical(spark, d), 100), 100), at_hand(R.nearest(X.patterns(spark, d), _q(spark, d), 50), 50)
+    return at_hand(R.fuse(*legs), 150)
 
 
 @register(f"WITH {_FUSED} SELECT pattern, round(rrf, 5) AS rrf, place, rank_0, rank_1 FROM fused")
@@ -309,7 +319,7 @@ def consensus_rerank(spark, d):
 @register(f"""WITH {_RECORDS}, {_FUSED}, rep AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY created DESC, key, line, price) AS n FROM rec WHERE borough = 'EUROPE')
 SELECT rr.place, pattern, key, line, price, created FROM rr JOIN rep USING (pattern) WHERE n = 1 AND rr.place <= 20 ORDER BY rr.place LIMIT 10""")
 def hybrid_representatives(spark, d):
-    scored = R.consensus(_fused(spark, d), X.patterns(spark, d)).drop("domain")
+    scored = at_hand(R.consensus(_fused(spark, d), X.patterns(spark, d)).drop("domain"), 150)
     return R.representatives(scored, X.records(spark, d).where("borough = 'EUROPE'"), 10, ("key", "line", "price")).select("place", "pattern", "key", "line", "price", "created")
 
 
