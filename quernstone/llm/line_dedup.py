@@ -19,7 +19,11 @@ Plan:
    bounds the symmetric difference from below);
 4. candidates are verified on full sets. A line that stays unresolved though
    it had more candidates gets all of them in a second round. So a group of
-   thousands of near copies costs a candidate or two each, and no match is lost.
+   thousands of near copies costs a candidate or two each, and no match is lost;
+5. a key of more than ``hot`` postings is cut into slices. In the first round
+   each posting meets its neighbours by length; in the second, lines that are
+   still open meet all others of the key, a pair of slices a row, so that no
+   task holds a hot key or compares all of it.
 """
 
 from __future__ import annotations
@@ -43,6 +47,9 @@ class Params:
     counters: int = 1 << 17
     first: int = 1  # candidates a posting gets in the first round
     bucket: int = 100_000  # postings of a task's array, about
+    hot: int = 8192  # postings of a key from which on they are dealt out in squares of so many
+    reach: int = 64  # neighbours, by length, that a hot key's posting meets in the first round
+    hold: int = 2_000_000  # postings that a task holds before it passes on those of hot keys
 
     @property
     def joined(self) -> int:
@@ -111,20 +118,13 @@ def _enough(hashes: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
     return ok
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None, p: Params, want: set | None = None) -> Lines:
-    """Sets of lines of at least ``min_words`` words that can match an unequal one; want: only of these (row, line). A key is 5 bits of the word's log2 count above 59 bits of its hash, so keys sort by rarity."""
+def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, p: Params) -> Lines:
+    """Sets of lines of at least ``min_words`` words that can match an unequal one. A key is 5 bits of the word's log2 count above 59 bits of its hash, so keys sort by rarity."""
     w = ts.words(data, offsets)
     row, line, first = _lines(w, data, offsets)
-    said = _sequence(w.hashes, first, _ODD[0]) if counts is not None else np.zeros(len(row), np.int64)
-    hashes = w.hashes
-    if want is not None:
-        mine = np.array([x in want for x in zip(row.tolist(), line.tolist(), strict=True)], bool)
-        size = np.diff(first)
-        hashes, row, line, said = hashes[np.repeat(mine, size)], row[mine], line[mine], said[mine]
-        first = np.concatenate([[0], np.cumsum(size[mine])])
-    key = hashes >> np.uint64(5)
-    if counts is not None:
-        key |= counts[(hashes & np.uint64(len(counts) - 1)).astype(np.int64)]
+    said = _sequence(w.hashes, first, _ODD[0])
+    key = w.hashes >> np.uint64(5)
+    key |= counts[(w.hashes & np.uint64(len(counts) - 1)).astype(np.int64)]
     keys, first = ts.distinct_sorted(key, first)
     n = np.diff(first)
     ok = n >= max(p.min_words, p.joined)
@@ -134,6 +134,16 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None,
     return Lines(row[ok], line[ok], keys, first, said[ok])
 
 
+def _cut_out(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the given lines, end to end, and their offsets."""
+    feeds = np.flatnonzero(data == 10)
+    nth = np.searchsorted(feeds, offsets[row]) + line  # the line feed that ends the line, if one does
+    edge = np.concatenate([[-1], feeds, [len(data)]])
+    begin, end = np.where(line > 0, edge[nth] + 1, offsets[row]), np.minimum(edge[nth + 1], offsets[row + 1])
+    first = np.concatenate([[0], np.cumsum(end - begin)])
+    return data[np.arange(first[-1]) + np.repeat(begin - first[:-1], end - begin)], first
+
+
 def _texts(batch: pa.RecordBatch, limit: int = 1 << 18):
     data, offsets = utf8(batch.column("text"))
     for lo, hi in chunks(offsets, limit):
@@ -188,13 +198,12 @@ POSTING = np.dtype([("key", "u8"), ("low", "u8"), ("high", "u8"), ("doc", "i8"),
 _PACKED = "bucket int, kind int, packed binary"
 
 
-def _pack(rows: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
-    """Rows as one array a bucket of keys."""
-    bucket = (rows["key"] % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(rows) else np.zeros(0, int)
-    ends = np.append(cut[1:], len(rows))
+def _cells(rows: np.ndarray, bucket: np.ndarray, kind: int, most: int = 1 << 14) -> pa.RecordBatch:
+    """Rows that come by bucket as cells of at most ``most`` rows of one bucket."""
+    at = np.arange(len(rows))
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(rows) else at
+    cut = np.flatnonzero((at - np.repeat(cut, np.diff(np.append(cut, len(rows))))) % most == 0)
+    ends = np.append(cut, len(rows))[1:]
     blobs = [rows[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(np.full(len(cut), kind, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "packed"])
 
@@ -216,12 +225,14 @@ def _postings(shared, p: Params, buckets: int, window: int = 6 << 20):
         size = n[pick] - (n[pick] * p.percent + 99) // 100 + 1
         at = np.repeat(np.arange(len(pick)), size)
         pos = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-        who = pick[at]
-        out = np.empty(len(who), POSTING)
-        out["key"], out["pos"] = keys[first[who] + pos], pos
+        key = keys[first[pick[at]] + pos]
+        bucket = (key % np.uint64(buckets)).astype(np.int32)
+        by = np.argsort(bucket, kind="stable")
+        who, out = pick[at[by]], np.empty(len(by), POSTING)
+        out["key"], out["pos"] = key[by], pos[by]
         for name, value in (("low", low), ("high", high), ("doc", doc), ("line", line), ("n", n)):
             out[name] = value[who]
-        return _pack(out, 0, buckets)
+        return _cells(out, bucket[by], 0)
 
     def run(batches):
         held, size = [], 0
@@ -252,31 +263,49 @@ def _asking(buckets: int):
             rows = np.empty(batch.num_rows, ASKING)
             rows["key"] = batch.column("key").to_numpy().view(np.uint64)
             rows["doc"], rows["line"] = batch.column("doc").to_numpy(), batch.column("line").to_numpy()
-            yield _pack(rows, 1, buckets)
+            bucket = (rows["key"] % np.uint64(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            yield _cells(rows[by], bucket[by], 1)
 
     return lean(run)
 
 
-_CANDIDATE = "doc long, line int, doc0 long, line0 int, key long, more boolean, bucket int, packed binary"
+#: Candidates; postings of keys that have more (packed); slices of hot keys (packed, with the least and largest set).
+_CANDIDATE = "doc long, line int, doc0 long, line0 int, key long, more boolean, bucket int, packed binary, least int, largest int"
 
 
-def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.ndarray | None = None, hold: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.ndarray | None = None, reach: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Postings by key and length, and among them (later, earlier, more) of candidate pairs that pass the filters.
 
     Equal lines of different windows are candidates too; that the later place
     is confirmed says nothing new. Each later line gets its ``skip``-th to ``take``-th earliest candidates of
     a key; more: there are others after those. asking: only these get any.
+    reach: a posting meets only so many neighbours.
     """
     if asking is not None:
         rows = rows[np.isin(rows["key"], asking["key"])]
+    rows = rows[_by_key(rows["key"])[1]]  # without keys of one row
+    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["n"], rows["key"])) if reach else np.lexsort((rows["n"], rows["key"]))]
+    key, n = rows["key"], rows["n"].astype(np.int64)
+    group = np.zeros(len(rows), np.int64)
+    group[1:] = np.cumsum(key[1:] != key[:-1])
     # by key and length, the partners of a row are those after it while the length allows
-    key = np.ascontiguousarray(rows["key"])
-    by = np.argsort(key)
-    key = key[by]
-    start = np.ones(len(rows), bool)
-    start[1:] = key[1:] != key[:-1]
-    rows = rows[by[~(start & np.append(start[1:], True))[: len(rows)]]]  # without keys of one row
-    rows = rows[np.lexsort((rows["n"], rows["key"]))]
+    low = np.arange(1, len(rows) + 1)
+    high = np.searchsorted(group << 32 | n, group << 32 | n * 100 // p.percent, "right")
+    return rows, *_pairs(rows, low, high if reach is None else np.minimum(high, low + reach), p, skip, take, asking)
+
+
+def across(left: np.ndarray, right: np.ndarray, p: Params, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``candidates`` for the pairs between two sets of postings of one key, each by length."""
+    short, long = left["n"].astype(np.int64), right["n"].astype(np.int64)
+    low = np.concatenate([len(left) + np.searchsorted(long, short, "left"), np.searchsorted(short, long, "right")])
+    high = np.concatenate([len(left) + np.searchsorted(long, short * 100 // p.percent, "right"), np.searchsorted(short, long * 100 // p.percent, "right")])
+    rows = np.concatenate([left, right])
+    return rows, *_pairs(rows, low, high, p, 0, 1 << 62, asking)
+
+
+def _pairs(rows: np.ndarray, first: np.ndarray, last: np.ndarray, p: Params, skip: int, take: int, asking: np.ndarray | None, block: int = 1 << 18, hold: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, more) of the pairs of each row with the rows from ``first`` to before ``last``, none of which is shorter."""
     asks = np.ones(len(rows), bool)
     if asking is not None:
         both = np.concatenate([asking, rows[list(ASKING.names)].astype(ASKING)])
@@ -284,10 +313,8 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
         wanted = np.zeros(inverse.max(initial=-1) + 1, bool)
         wanted[inverse[: len(asking)]] = True
         asks = wanted[inverse[len(asking) :]]
-    key, n, pos, low, high = np.ascontiguousarray(rows["key"]), rows["n"].astype(np.int64), rows["pos"].astype(np.int64), np.ascontiguousarray(rows["low"]), np.ascontiguousarray(rows["high"])
-    doc, line = np.ascontiguousarray(rows["doc"]), np.ascontiguousarray(rows["line"])
-    most = n * 100 // p.percent
-    pairs, held = [np.zeros((2, 0), np.int64)], 0
+    n, room = rows["n"].astype(np.int32), (rows["n"] - rows["pos"]).astype(np.int32)
+    low, high, doc, line = (np.ascontiguousarray(rows[c]) for c in ("low", "high", "doc", "line"))
     kept = take + 1 if take < 1 << 40 else take
 
     def earliest(found: np.ndarray) -> np.ndarray:
@@ -300,21 +327,23 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
         return found[:, rank < kept]
 
     # the shorter of a pair: its place must leave room for the overlap that two sets of its size need, the least there is
-    left = np.flatnonzero(n - pos >= (2 * p.percent * n + 99 + p.percent) // (100 + p.percent))
-    for gap in range(1, len(rows)):
-        left = left[left + gap < len(rows)]
-        right = left + gap
-        near = (key[right] == key[left]) & (n[right] <= most[left])
-        left, right = left[near], right[near]
-        if not len(left):
-            break
-        a, b = left, right
+    wide = n.astype(np.int64)
+    size = np.where(room >= (2 * p.percent * wide + 99 + p.percent) // (100 + p.percent), np.maximum(last - first, 0), 0)
+    left = np.flatnonzero(size)
+    size = size[left]
+    total = np.concatenate([[0], np.cumsum(size)])
+    pairs, held, lo = [np.zeros((2, 0), np.int64)], 0, 0
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + block, "right")) - 1)
+        a = np.repeat(left[lo:hi], size[lo:hi])
+        b = np.arange(total[hi] - total[lo]) + np.repeat(first[left[lo:hi]] - (total[lo:hi] - total[lo]), size[lo:hi])
+        lo = hi
         if asking is not None:
             some = asks[a] | asks[b]
             a, b = a[some], b[some]
-        both = n[a] + n[b]
+        both = wide[a] + wide[b]
         need = (p.percent * both + 99 + p.percent) // (100 + p.percent)
-        ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
+        ok = np.minimum(room[a], room[b]) >= need
         a, b, slack = a[ok], b[ok], (both - 2 * need)[ok]
         ok = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= slack
         a, b = a[ok], b[ok]
@@ -336,48 +365,137 @@ def candidates(rows: np.ndarray, p: Params, skip: int, take: int, asking: np.nda
     rank = np.arange(found.shape[1]) - np.repeat(at, count)
     beyond = np.repeat(count, count) > take
     ok = (rank >= skip) & (rank < take)
-    return rows, found[0][ok], found[1][ok], beyond[ok]
+    return found[0][ok], found[1][ok], beyond[ok]
+
+
+def _by_key(key: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of at least ``least`` rows, and their rows by key."""
+    by = np.argsort(key)
+    key = key[by]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    size = np.diff(np.append(start, len(key)))
+    return key[start[size >= least]], by[np.repeat(size >= least, size)]
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    """``n`` rows of _CANDIDATE; columns that aren't given are null."""
+    fields = [pa.field("doc", pa.int64()), pa.field("line", pa.int32()), pa.field("doc0", pa.int64()), pa.field("line0", pa.int32()), pa.field("key", pa.int64()), pa.field("more", pa.bool_()), pa.field("bucket", pa.int32()), pa.field("packed", pa.binary()), pa.field("least", pa.int32()), pa.field("largest", pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields], schema=pa.schema(fields))
+
+
+def _found(rows: np.ndarray, b: np.ndarray, a: np.ndarray, more: np.ndarray, bucket: int) -> pa.RecordBatch:
+    return _rows(len(b), doc=rows["doc"][b], line=rows["line"][b], doc0=rows["doc"][a], line0=rows["line"][a], key=rows["key"][b].view(np.int64), more=more, bucket=np.full(len(b), bucket, np.int32))
 
 
 def _walk(p: Params, skip: int, take: int, only: bool):
-    """Candidates of packed postings that come sorted by bucket; of keys that have more, the postings come out again, packed."""
-
-    def walk(held: list[tuple[int, bytes]], bucket: int):
-        rows = np.concatenate([np.frombuffer(x, POSTING) for k, x in held if k == 0] or [np.zeros(0, POSTING)])
-        asking = np.concatenate([np.frombuffer(x, ASKING) for k, x in held if k == 1] or [np.zeros(0, ASKING)]) if only else None
-        rows, b, a, more = candidates(rows, p, skip, take, asking)
-        again = rows[np.isin(rows["key"], rows["key"][b[more]])]
-        n, rest = len(b), 1 if len(again) else 0
-        pad = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(rest, pa.array(x).type)])
-        columns = [rows["doc"][b], rows["line"][b], rows["doc"][a], rows["line"][a], rows["key"][b].view(np.int64), more, np.full(n, bucket, np.int32)]
-        columns = [*map(pad, columns[:-1]), pa.array(np.full(n + rest, bucket, np.int32)), pa.array([None] * n + [again.tobytes()] * rest, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "line", "doc0", "line0", "key", "more", "bucket", "packed"])
+    """Candidates of packed postings that come sorted by bucket; of keys that have more, the postings come out again, in cells; those of hot keys in slices."""
+
+    def shed(rows: np.ndarray, hot: np.ndarray, bucket: int):
+        """Postings without those of hot keys, the hot keys so far, and what comes out for them."""
+        hot = np.union1d(hot, _by_key(rows["key"], p.hot + 1)[0])
+        mine = np.isin(rows["key"], hot) if len(hot) else np.zeros(len(rows), bool)
+        some, out = rows[mine], []
+        if len(some):
+            out.append(_found(*candidates(some, p, 0, p.first, reach=p.reach), bucket))
+            some = some[np.lexsort((some["line"], some["doc"], some["n"], some["key"]))]
+            head = np.flatnonzero(np.concatenate([[True], some["key"][1:] != some["key"][:-1]]))
+            rank = np.arange(len(some)) - np.repeat(head, np.diff(np.append(head, len(some))))
+            cut = np.flatnonzero(rank % p.hot == 0)
+            slices = [some[x:y] for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(some)], strict=True)]
+            out += [_rows(1, key=x["key"][:1].view(np.int64), packed=[x.tobytes()], least=x["n"][:1], largest=x["n"][-1:]) for x in slices]
+        return rows[~mine], hot, out
+
+    def walk(rows: np.ndarray, asking: np.ndarray, bucket: int):
+        rows, b, a, more = candidates(rows, p, skip, take, asking if only else None)
+        yield _found(rows, b, a, more, bucket)
+        if not only:
+            again = rows[np.isin(rows["key"], rows["key"][b[more]])]
+            cells = _cells(again, np.full(len(again), bucket, np.int32), 0)
+            yield _rows(cells.num_rows, bucket=cells.column("bucket"), packed=cells.column("packed"))
 
     def run(batches):
-        held, bucket = [], None
+        held, asking, bucket, size, hot = [], [], None, 0, np.zeros(0, np.uint64)
+        of = lambda xs, t: np.concatenate([np.frombuffer(x, t) for x in xs] or [np.zeros(0, t)])
+
+        def end():
+            rows, _, out = shed(of(held, POSTING), hot, bucket) if not only else (of(held, POSTING), hot, [])
+            yield from out
+            yield from walk(rows, of(asking, ASKING), bucket)
+
         for batch in batches:
-            for b, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "packed")), strict=True):
-                if b != bucket and held:
-                    yield walk(held, bucket)
-                    held = []
-                bucket = b
-                held.append((kind, packed))
-        if held:
-            yield walk(held, bucket)
+            for b, kind, packed in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("packed"), strict=True):
+                if b != bucket:
+                    if held or asking:
+                        yield from end()
+                    held, asking, bucket, size, hot = [], [], b, 0, np.zeros(0, np.uint64)
+                packed = packed.as_buffer().to_pybytes()
+                (held if kind == 0 else asking).append(packed)
+                size += len(packed) // POSTING.itemsize if kind == 0 else 0
+                if size > p.hold and not only:
+                    rows, hot, out = shed(of(held, POSTING), hot, bucket)
+                    yield from out
+                    held, size = [rows.tobytes()], 0
+        if held or asking:
+            yield from end()
 
     return lean(run)
 
 
+def _places(batches):
+    """(key, slice, doc, line) of every posting in slices."""
+    for batch in batches:
+        for key, number, packed in zip(*(batch.column(c) for c in ("key", "slice", "packed")), strict=True):
+            x = np.frombuffer(packed.as_buffer(), POSTING)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), key.as_py())), pa.array(np.full(len(x), number.as_py())), pa.array(x["doc"]), pa.array(x["line"])], names=["key", "slice", "doc", "line"])
+
+
+def _meet(p: Params):
+    """Candidates of the open lines of two slices of a key, or of one with itself."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                left, right = (np.frombuffer(batch.column(c)[r].as_buffer(), POSTING) for c in ("packed", "packed1"))
+                alone = batch.column("slice")[r] == batch.column("slice1")[r]
+                asking = np.zeros(sum(len(batch.column(c)[r].values) for c in ("docs", "docs1") if batch.column(c)[r].is_valid), ASKING)
+                asking["key"] = left["key"][0]
+                for name, columns in (("doc", ("docs", "docs1")), ("line", ("lines", "lines1"))):
+                    asking[name] = np.concatenate([batch.column(c)[r].values.to_numpy() for c in columns if batch.column(c)[r].is_valid])
+                yield _found(*(candidates(left, p, 0, 1 << 62, asking) if alone else across(left, right, p, asking)), 0)
+
+    return lean(run)
+
+
+def _hot_pairs(found: DataFrame, near: DataFrame, p: Params) -> DataFrame | None:
+    """Candidates of open lines among all postings of hot keys."""
+    hot = found.where("least is not null").select("key", F.xxhash64("packed").alias("slice"), "packed", "least", "largest")
+    if hot.isEmpty():
+        return None
+    places = hot.mapInArrow(lean(_places), "key long, slice long, doc long, line int")
+    open_ = places.join(near, ["doc", "line"], "left_anti").groupBy("key", "slice").agg(F.collect_list("doc").alias("docs"), F.collect_list("line").alias("lines"))  # of one slice: p.hot at most
+    full = materialise(hot.join(open_, ["key", "slice"], "left"), "hot-slices", tidy=True)
+    narrow = full.select("key", "slice", "least", "largest", F.col("docs").isNotNull().alias("open"))
+    other = narrow.toDF("key", "slice1", "least1", "largest1", "open1")
+    reach = (F.col("least1") * p.percent <= F.col("largest") * 100) & (F.col("least") * p.percent <= F.col("largest1") * 100)
+    squares = narrow.join(other, "key").where((F.col("slice") <= F.col("slice1")) & (F.col("open") | F.col("open1")) & reach).select("key", "slice", "slice1").distinct()
+    first = full.select("key", "slice", "packed", "docs", "lines")
+    both = materialise(squares, "squares").join(first, ["key", "slice"]).join(first.toDF("key", "slice1", "packed1", "docs1", "lines1"), ["key", "slice1"])
+    return both.mapInArrow(_meet(p), _CANDIDATE)
+
+
 def _sets(p: Params):
     def run(batches):
         for batch in batches:
             doc, lines = batch.column("doc").to_numpy(), batch.column("lines")
             for lo, hi, data, offsets in _texts(batch, 4 << 20):
-                want = {(r, v) for r, l in enumerate(lines.slice(lo, hi - lo).to_pylist()) for v in l}
-                x = line_sets(data, offsets, None, p, want)
-                cut = x.first.tolist()
-                members = [x.keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[lo + x.row], pa.int64()), pa.array(x.line, pa.int32()), pa.array(members, pa.binary())], names=["doc", "line", "members"])
+                asked = lines.slice(lo, hi - lo)
+                row, line = np.repeat(np.arange(hi - lo), asked.value_lengths().to_numpy()), asked.flatten().to_numpy().astype(np.int64)
+                w = ts.words(*_cut_out(data, offsets, row, line))
+                keys, first = ts.distinct_sorted(w.hashes, w.first)
+                for i in range(0, len(row), 1 << 20):  # offsets of a batch have 31 bits
+                    cut = first[i : i + (1 << 20) + 1]
+                    members = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(((cut - cut[0]) * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys[cut[0] : cut[-1]]))])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[lo + row[i : i + (1 << 20)]], pa.int64()), pa.array(line[i : i + (1 << 20)], pa.int32()), members], names=["doc", "line", "members"])
 
     return lean(run)
 
@@ -400,13 +518,27 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """(doc, line) of those candidates whose full sets match an earlier line."""
     pairs = materialise(pairs.select("doc", "line", "doc0", "line0").distinct(), "candidate-pairs", tidy=True)
     need = pairs.select("doc", "line").union(pairs.select("doc0", "line0")).distinct().groupBy("doc").agg(F.collect_list("line").alias("lines"))
-    need = small_enough(materialise(need, "asked"))
+    need = small_enough(materialise(need, "asked"), lists="lines")
     sets = materialise(texts.join(need, "doc").select("doc", "lines", "text").mapInArrow(_sets(p), "doc long, line int, members binary"), "line-sets", tidy=True)
     later, earlier = sets.withColumnRenamed("members", "left"), sets.toDF("doc0", "line0", "right")
     both = pairs.join(later, ["doc", "line"]).join(earlier, ["doc0", "line0"]).select("doc", "line", "left", "right")
     return materialise(both.mapInArrow(_confirm(p), "doc long, line int").distinct(), "near", tidy=True)
 
 
+def _repeats(lines: DataFrame) -> DataFrame:
+    """(doc, line) of every line that equals an earlier one: all of a class but its first.
+
+    The smallest doc comes from a hash aggregation, which a smallest (doc,
+    line) wouldn't get; the smallest line is then looked for in that doc only.
+    """
+    classes = lines.groupBy("fp1", "fp2").agg(F.min("doc").alias("doc0"), F.count("*").alias("c")).where("c > 1").drop("c")
+    classes = classes.select(rehash("fp1").alias("fp1"), "fp2", "doc0")
+    copies = materialise(lines.join(classes, ["fp1", "fp2"]), "copies", tidy=True)
+    home = copies.where("doc = doc0").groupBy("fp1", "fp2").agg(F.min("line").alias("line0"), F.max("line").alias("last")).where("line0 < last")
+    home = copies.where("doc = doc0").join(home.select(rehash("fp1").alias("fp1"), "fp2", "line0"), ["fp1", "fp2"]).where("line > line0")
+    return copies.where("doc <> doc0").select("doc", "line").union(home.select("doc", "line"))
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", params: Params = Params()) -> DataFrame:
     """(doc, lines): the numbers, from 0, of the lines to remove from each document that loses any."""
     p, sc = params, docs.sparkSession.sparkContext
@@ -418,17 +550,17 @@ def removals(docs: DataFrame, id_col: str = "doc_id", params: Params = Params())
     shared = sc.broadcast(np.minimum(np.log2(counts + 1.0), 31).astype(np.uint64) << np.uint64(59))
     postings = texts.mapInArrow(_postings(shared, p, buckets), _PACKED)
     found = materialise(postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_walk(p, 0, p.first, False), _CANDIDATE), "candidates", tidy=True)
-    near = _verify(found.where("packed is null"), texts, p)
+    near = _verify(found.where("doc is not null"), texts, p)
     more = materialise(found.where("more").select("key", "doc", "line").distinct().join(near, ["doc", "line"], "left_anti"), "unresolved")
+    rest = _hot_pairs(found, near, p)
     if not more.isEmpty():  # all candidates of those that had more than the first round tried; the postings of their keys are at hand
-        both = found.where("packed is not null").select("bucket", F.lit(0).alias("kind"), "packed").union(more.mapInArrow(_asking(buckets), _PACKED))
-        rest = both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_walk(p, p.first, 1 << 62, True), _CANDIDATE)
-        near = near.union(_verify(materialise(rest, "candidates", tidy=True), texts, p)).distinct()
-    first = lines.groupBy("fp1", "fp2").agg(F.min(F.struct("doc", "line")).alias("f"), F.count("*").alias("c"))
-    first = first.select("fp1", "fp2", "c", F.col("f.doc").alias("doc"), F.col("f.line").alias("line"))
-    hit = first.join(near.withColumn("near", F.lit(True)), ["doc", "line"], "left").where("near or c > 1")
-    hit = materialise(hit.select("fp1", "fp2", F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.coalesce("near", F.lit(False)).alias("near")), "classes")
-    gone = lines.join(hit, ["fp1", "fp2"]).where("near or doc <> doc0 or line <> line0").select("doc", "line").distinct()
+        both = found.where("bucket is not null and packed is not null").select("bucket", F.lit(0).alias("kind"), "packed").union(more.mapInArrow(_asking(buckets), _PACKED))
+        cold = both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_walk(p, p.first, 1 << 62, True), _CANDIDATE)
+        rest = cold if rest is None else rest.union(cold)
+    if rest is not None:
+        near = near.union(_verify(materialise(rest, "candidates", tidy=True), texts, p))
+    # a class's first line goes if it is near an earlier one, its others go anyway
+    gone = near.union(_repeats(lines)).distinct()
     return gone.groupBy("doc").agg(F.collect_list("line").alias("lines"))
 
 
@@ -442,30 +574,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", params: Params = Params
     ``docs`` named n_lines, n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = small_enough(materialise(removals(docs, id_col, params), "removals", tidy=True).toDF("_doc", "_lines"))
+    gone = small_enough(materialise(removals(docs, id_col, params), "removals", tidy=True).toDF("_doc", "_lines"), lists="_lines")
     both = docs.join(gone, docs[id_col].cast("long") == F.col("_doc"), "left").drop("_doc")
-    names = [c for c in both.columns if c != "_lines"]
-
-    def run(batches):
-        for batch in batches:
-            texts, lines = batch.column("text").to_pylist(), batch.column("_lines").to_pylist()
-            n, out, cut = [], [], []
-            for text, drop in zip(texts, lines, strict=True):
-                n.append(text.count("\n") + 1 if text else 0)
-                if drop:
-                    drop = set(drop)
-                    parts = text.split("\n") if text else []
-                    kept = [x for i, x in enumerate(parts) if i not in drop]
-                    cut.append(len(parts) - len(kept))
-                    text = "\n".join(kept)
-                else:
-                    cut.append(0)
-                out.append(text)
-            fields = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*fields, pa.array(n, pa.int64()), pa.array(cut, pa.int64())], names=[*names, "n_lines", "n_removed"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_lines long, n_removed long"])
-    out = both.mapInArrow(lean(run), schema)
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    both = both.withColumn("n_lines", F.when(F.octet_length("text") > 0, feeds + 1).otherwise(0).cast("long"))
+    # the lines and the numbers that stay, bound once so that a long text is split once
+    every = F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1)
+    part = F.struct(F.split("text", "\n", -1).alias("lines"), F.array_except(every, F.array_sort("_lines")).alias("left"))
+    less = F.transform(F.array(part), lambda x: F.struct(F.array_join(F.transform(x["left"], lambda i: F.get(x["lines"], i)), "\n").alias("text"), F.size(x["left"]).alias("n")))[0]
+    cut = F.col("_lines").isNotNull() & (F.col("n_lines") > 0)
+    both = both.withColumn("_less", F.when(cut, less)).withColumn("n_removed", F.when(cut, F.col("n_lines") - F.col("_less.n")).otherwise(0).cast("long"))
+    names = [c for c in docs.columns if c not in ("text", "n_chars")]
+    out = {c: F.col(c) for c in names} | {"text": F.when(F.col("_less").isNotNull(), F.col("_less.text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out
+        kind = docs.schema["n_chars"].dataType
+        out["n_chars"] = F.when(F.col("n_removed") > 0, F.length("_less.text").cast(kind)).otherwise(F.col("n_chars"))
+    return both.select(*[out[c].alias(c) for c in docs.columns], "n_lines", "n_removed")
