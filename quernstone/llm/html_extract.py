@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 from unicodedata import east_asian_width
 
 import pyarrow as pa
@@ -56,9 +58,10 @@ BREAKOUT = frozenset("b big blockquote br center code dd div dl dt em embed h1 h
 SCREEN = {"width": 1280.0, "height": 800.0}
 MEDIA = {"orientation:landscape": True, "orientation:portrait": False, "hover": True, "hover:hover": True, "hover:none": False, "pointer:fine": True, "pointer:coarse": False, "prefers-color-scheme:light": True, "prefers-color-scheme:dark": False}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag. A quote opens a value only after an equals sign; nothing is ever given back, so the scan is linear.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _CSS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|url\([^)]*\)|[{};]", re.S | re.I)
 _DECLARED = re.compile(r"(display|visibility)\s*:\s*([\w-]+)[^!]*(!\s*important)?", re.I)
 _SIZE = r"([\d.]+)(px|em|rem)?"
@@ -84,7 +87,7 @@ def _parse(html: str) -> tuple[Node, int]:
     """The element tree, of any depth, and its depth. html, head and body are implied; unknown end tags are ignored."""
     root = Node("html")
     depth = 1
-    stack, opened = [root], defaultdict(int)  # opened: elements on the stack by tag, which spares a search for those that aren't
+    stack, opened = [root], defaultdict(list)  # opened: places of the elements on the stack by tag, so that none is searched for
 
     def open_(tag: str, attrs: dict | None = None) -> None:
         node = Node(tag, attrs or {})
@@ -95,30 +98,21 @@ def _parse(html: str) -> tuple[Node, int]:
         nonlocal depth
         stack.append(node)
         depth = max(depth, len(stack))
-        opened[node.tag] += 1
+        opened[node.tag].append(len(stack) - 1)
+
+    def last(tags) -> int:
+        return max((opened[x][-1] for x in tags if x in opened and opened[x]), default=0)
 
     def close(tags, stop) -> bool:
-        if not any(opened[x] for x in tags):
+        at = last(tags)
+        if not at or last(stop) > at:
             return False
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                for x in stack[i:]:
-                    opened[x.tag] -= 1
-                del stack[i:]
-                return True
-            if stack[i].tag in stop:
-                return False
-        return False
+        while len(stack) > at:
+            opened[stack.pop().tag].pop()
+        return True
 
     def foreign() -> bool:
-        if not opened["svg"] and not opened["math"]:
-            return False
-        for x in reversed(stack):
-            if x.tag in ("svg", "math"):
-                return True
-            if x.tag in ("foreignobject", "annotation-xml"):
-                return False
-        return False
+        return last(("svg", "math")) > last(("foreignobject", "annotation-xml"))
 
     def text(s: str) -> None:
         if not s:
@@ -132,25 +126,34 @@ def _parse(html: str) -> tuple[Node, int]:
     def body() -> None:
         close({"head"}, ())
         if len(stack) == 1:
-            if (last := next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), None)) is not None:
-                push(last)
+            if (known := next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), None)) is not None:
+                push(known)
             else:
                 open_("body")
 
     at, n = 0, len(html)
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        mark = html.find("<", at)
+        if mark < 0:
             text(unescape(html[at:]))
             break
-        text(unescape(html[at : m.start()]))
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0] == "<":
+        text(unescape(html[at:mark]))
+        m = _NAME.match(html, mark)
+        if m is None:
+            if html.startswith("<!--", mark):
+                at = html.find("-->", mark + 4) + 3
+            elif html.startswith(("<!", "<?"), mark):
+                at = html.find(">", mark) + 1
+            else:
                 text("<")
+                at = mark + 1
+            if at <= mark:  # what is left open takes the rest
+                break
             continue
-        tag = tag.lower()
+        end = _REST.match(html, m.end()).end()
+        if end == n:  # as browsers do: a tag that never ends shows nothing
+            break
+        tag, said, at = m[2].lower(), html[m.end() : end], end + 1
         if m[1]:
             if tag == "p" and not opened["p"]:
                 body()
@@ -161,7 +164,7 @@ def _parse(html: str) -> tuple[Node, int]:
             elif tag not in ("html", "body"):
                 close({tag}, SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th") else {"table"} - {tag})
             continue
-        attrs = {k.lower(): unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(m[3])} if m[3] and not m[3].isspace() else {}
+        attrs = {k.lower(): unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(said)} if said and not said.isspace() else {}
         if tag in ("html", "body"):
             if tag == "body":
                 body()
@@ -187,12 +190,12 @@ def _parse(html: str) -> tuple[Node, int]:
                 open_("tr")
         elif tag in CLOSES_P:
             close({"p"}, SCOPE)
-        if tag in VOID or m[3].endswith("/") and (tag in ("svg", "path", "math") or foreign()):
+        if tag in VOID or said.endswith("/") and (tag in ("svg", "path", "math") or foreign()):
             stack[-1].children.append(Node(tag, attrs))
         elif tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             inner = html[at : end.start() if end else n]
-            at = end.end() if end else n
+            at = html.find(">", end.end()) + 1 or n if end else n
             stack[-1].children.append(Node(tag, attrs, [unescape(inner) if tag in ("textarea", "title") else inner]))
         else:
             open_(tag, attrs)
@@ -279,17 +282,48 @@ class Sheet:
         if not any(x[3] for of in self.keys.values() for x in of.values()):
             self.keys = {}
 
-    def hides(self, node: Node) -> bool:
+    def says(self, node: Node) -> dict[str, tuple]:
+        """By property, what the rules say of the node: whether it is important, its rank, and whether it hides."""
         if not self.keys:
-            return False
+            return {}
         names = ["", *("." + c for c in node.attrs.get("class", "").split()), "#" + node.attrs.get("id", "")]
         of = [self.keys[t, x] for t in ("", node.tag) for x in names if (t or x) and (t, x) in self.keys]
-        return any(max(x[p] for x in of if p in x)[3] for p in {p for x in of for p in x})
+        return {p: max(x[p] for x in of if p in x) for p in {p for x in of for p in x}}
+
+
+def _styled(node: Node, sheet: Sheet) -> dict[str, bool]:
+    """Whether the node's display, and its visibility, hide it, as far as its style or the rules say."""
+    rules = sheet.says(node)
+    out = {p: x[3] for p, x in rules.items()}
+    if "style" in node.attrs:
+        for one in node.attrs["style"].split(";"):
+            if (m := _DECLARED.match(one.strip())) and (m[3] or not rules.get(name := m[1].lower(), (False,))[0]):
+                out[m[1].lower()] = m[2].lower() in (("none",) if m[1].lower() == "display" else ("hidden", "collapse"))
+    return out
 
 
-def hidden(node: Node, sheet: Sheet) -> bool:
-    a = node.attrs
-    return node.tag in HIDDEN or "hidden" in a or bool(a) and "style" in a and bool(_GONE.search(a["style"])) or node.tag == "dialog" and "open" not in a or sheet.hides(node)
+def _prune(root: Node, sheet: Sheet) -> None:
+    """Takes out all that isn't shown: elements without display, with all in them, and the text of invisible ones, whose elements may be visible again."""
+    todo = [(root, True)]
+    while todo:
+        node, seen = todo.pop()
+        kept = []
+        for child in node.children:
+            if isinstance(child, str):
+                if seen:
+                    kept.append(child)
+                continue
+            if child.tag in HIDDEN or "hidden" in child.attrs or child.tag == "dialog" and "open" not in child.attrs:
+                continue
+            style = _styled(child, sheet) if child.attrs or sheet.keys else {}
+            if style.get("display"):
+                continue
+            mine = not style["visibility"] if "visibility" in style else seen
+            if child.tag == "input" and not mine:
+                continue
+            kept.append(child)
+            todo.append((child, mine))
+        node.children = kept
 
 
 class Flow:
@@ -329,10 +363,10 @@ class Flow:
             self.gap = gap
 
 
-def _lines(node: Node, sheet: Sheet, wide: bool = False) -> list[str]:
+def _lines(node: Node, wide: bool = False) -> list[str]:
     flow = Flow()
     flow.wide = wide
-    _walk(node, flow, sheet)
+    _walk(node, flow)
     flow.end(0)
     while flow.lines and not flow.lines[-1]:
         flow.lines.pop()
@@ -348,7 +382,7 @@ def _opened(node: Node, gap: int | None = None) -> list:
     return [node, iter(node.children), closed, number, gap]
 
 
-def _walk(node: Node, flow: Flow, sheet: Sheet) -> None:
+def _walk(node: Node, flow: Flow) -> None:
     """Lays out what is in ``node``. Only lists' items, tables and quotes, which get lines of their own, recurse."""
     frames = [_opened(node)]
     while frames:
@@ -360,7 +394,7 @@ def _walk(node: Node, flow: Flow, sheet: Sheet) -> None:
                     flow.text(child)
                 continue
             tag = child.tag
-            if hidden(child, sheet) or closed and tag != "summary":
+            if closed and tag != "summary":
                 continue
             if tag == "br":
                 flow.end(0, True)
@@ -370,22 +404,22 @@ def _walk(node: Node, flow: Flow, sheet: Sheet) -> None:
                 if child.attrs.get("type", "").lower() in ("button", "submit", "reset") and child.attrs.get("value"):
                     flow.text(f" {child.attrs['value']} ")
             elif tag == "select":
-                flow.text(f" {' '.join(_options(child, sheet))} ")
+                flow.text(f" {' '.join(_options(child))} ")
             elif tag == "svg":
-                _drawing(child, flow, sheet)
+                _drawing(child, flow)
             elif tag == "math":
-                _formula(child, flow, sheet)
+                _formula(child, flow)
             elif tag == "table":
-                flow.block(_table(child, sheet), 1)
+                flow.block(_table(child), 1)
             elif tag == "li":
                 mark = f"{frame[3]}. " if node.tag == "ol" else "- "
                 frame[3] += 1
-                inner = _lines(child, sheet)
+                inner = _lines(child)
                 flow.block([(mark if i == 0 else " " * len(mark) if x and not x.startswith(FAR) else "") + x for i, x in enumerate(inner)], 0)
             elif tag == "dd":
-                flow.block(["  " + x if x and not x.startswith(FAR) else x for x in _lines(child, sheet)], 0)
+                flow.block(["  " + x if x and not x.startswith(FAR) else x for x in _lines(child)], 0)
             elif tag in ("blockquote", "pre", "textarea"):
-                inner = _lines(child, sheet, tag != "blockquote" or flow.wide)
+                inner = _lines(child, tag != "blockquote" or flow.wide)
                 flow.block(["> " + x if tag == "blockquote" and not x.startswith(QUOTED) else x for x in inner], 1)
             elif tag in BLOCK:
                 space = 1 if tag in SPACED and not (tag in ("ul", "ol", "dl") and node.tag == "li") else 0
@@ -403,28 +437,28 @@ def _walk(node: Node, flow: Flow, sheet: Sheet) -> None:
                 flow.end(gap)
 
 
-def _said(node: Node, sheet: Sheet) -> str:
+def _said(node: Node) -> str:
     """The text of a node that lays out nothing, spaces collapsed."""
     out, todo = [], [node]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
-        elif x is node or not hidden(x, sheet):
+        else:
             todo += reversed(x.children)
     return _SPACE.sub(" ", "".join(out)).strip()
 
 
-def _options(node: Node, sheet: Sheet) -> list[str]:
+def _options(node: Node) -> list[str]:
     """The options that a select shows: all of a list box, else the last selected or the first enabled one."""
     every, todo = [], [(c, False) for c in reversed(node.children)]
     box = "multiple" in node.attrs or re.fullmatch(r"\s*0*([2-9]|[1-9]\d+)\s*", node.attrs.get("size", "")) is not None
     while todo:
         x, off = todo.pop()
-        if isinstance(x, str) or hidden(x, sheet):
+        if isinstance(x, str):
             continue
         if x.tag == "option":
-            every.append((x.attrs.get("label") or _said(x, sheet), "selected" in x.attrs, off or "disabled" in x.attrs))
+            every.append((x.attrs.get("label") or _said(x), "selected" in x.attrs, off or "disabled" in x.attrs))
             continue
         if x.tag == "optgroup" and box and x.attrs.get("label"):
             every.append((x.attrs["label"], False, True))
@@ -434,7 +468,7 @@ def _options(node: Node, sheet: Sheet) -> list[str]:
     return ([t for t, chosen, _ in every if chosen][-1:] or [t for t, _, off in every if not off][:1])
 
 
-def _drawing(node: Node, flow: Flow, sheet: Sheet) -> None:
+def _drawing(node: Node, flow: Flow) -> None:
     """The text elements of an svg, apart from one another, and the pages within it."""
     todo = [(c, False) for c in reversed(node.children)]
     while todo:
@@ -443,25 +477,24 @@ def _drawing(node: Node, flow: Flow, sheet: Sheet) -> None:
             if shown:
                 flow.text(x)
         elif x.tag == "foreignobject":
-            if not hidden(x, sheet):
-                flow.end(0)
-                _walk(x, flow, sheet)
-                flow.end(0)
-        elif x.tag not in UNDRAWN and not hidden(x, sheet) and x.attrs.get("display") != "none" and x.attrs.get("visibility") not in ("hidden", "collapse"):
+            flow.end(0)
+            _walk(x, flow)
+            flow.end(0)
+        elif x.tag not in UNDRAWN and x.attrs.get("display") != "none" and x.attrs.get("visibility") not in ("hidden", "collapse"):
             if x.tag == "text" or x.tag == "tspan" and not x.attrs.keys().isdisjoint(("x", "y", "dy")):
                 flow.text(" ")
                 todo.append((" ", True))
             todo += [(c, shown or x.tag == "text") for c in reversed(x.children)]
 
 
-def _formula(node: Node, flow: Flow, sheet: Sheet) -> None:
+def _formula(node: Node, flow: Flow) -> None:
     """The tokens of a formula; a fraction's parts are set apart by a slash, cells by spaces."""
     todo = [node]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             flow.text(x)
-        elif x is node or x.tag not in ("annotation", "annotation-xml") and not hidden(x, sheet):
+        elif x.tag not in ("annotation", "annotation-xml"):
             inner = [c for c in x.children if isinstance(c, Node) or c.strip()]
             if x.tag in ("mfrac", "mtr", "mtable"):
                 inner = [y for c in inner for y in ("/" if x.tag == "mfrac" else " ", c)][1:]
@@ -472,47 +505,64 @@ def _width(s: str) -> int:
     return len(s) if s.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def _table(node: Node, sheet: Sheet) -> list[str]:
-    """Rows of cells padded to their column's width; a cell of several lines takes several lines of its row."""
+def _table(node: Node) -> list[str]:
+    """Rows of cells padded to their column's width; a cell of several lines takes several lines of its row, one of several rows leaves its place in the later ones empty."""
     caption, rows, todo = [], [], [node]
+    under: list[list[int]] = []  # [place, columns, rows to come] of cells of several rows
     while todo:
         part = todo.pop(0)
+        under = []  # such cells end with their group of rows
         for child in part.children:
             if isinstance(child, str):
                 if child.strip():
                     caption.append(_SPACE.sub(" ", child).strip())
-            elif hidden(child, sheet):
-                continue
             elif child.tag in ("thead", "tbody", "tfoot"):
                 todo.insert(0, child) if child.tag == "thead" else todo.append(child)
             elif child.tag == "tr":
-                cells = []
-                for c in child.children:
-                    if isinstance(c, Node) and not hidden(c, sheet):
-                        span = c.attrs.get("colspan", "1")
-                        cells.append((_lines(c, sheet), min(int(span), 100) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1))
-                    elif isinstance(c, str) and c.strip():
-                        cells.append(([_SPACE.sub(" ", c).strip()], 1))
+                cells, at, wait = [], 0, sorted(under)
+                for c in [*child.children, None]:
+                    if isinstance(c, str) and not c.strip():
+                        continue
+                    while wait and (c is None or wait[0][0] <= at):
+                        if wait[0][0] > at:  # columns that this row leaves out
+                            cells.append((at, [], wait[0][0] - at))
+                        cells.append((wait[0][0], [], wait[0][1]))
+                        at = max(at, wait[0][0] + wait[0][1])
+                        wait.pop(0)
+                    if c is None:
+                        break
+                    if isinstance(c, str):
+                        cells.append((at, [_SPACE.sub(" ", c).strip()], 1))
+                        at += 1
+                        continue
+                    span, down = (int(x) if re.fullmatch(r"[1-9]\d{0,4}", x := c.attrs.get(k, "1")) else 1 for k in ("colspan", "rowspan"))
+                    span = min(span, 1000)  # the standard's limit
+                    cells.append((at, _lines(c), span))
+                    if down > 1:
+                        under.append([at, span, down])
+                    at += span
+                for x in under:
+                    x[2] -= 1
+                under = [x for x in under if x[2] > 0]
                 rows.append(cells)
             elif child.tag not in ("col", "colgroup"):
-                caption += _lines(Node("div", {}, [child]) if child.tag in ("select", "svg", "math") else child, sheet)
+                caption += _lines(Node("div", {}, [child]) if child.tag in ("select", "svg", "math") else child)
     widths: dict[int, int] = {}
     for cells in rows:
-        at = 0
-        for lines, span in cells:
+        for at, lines, span in cells:
             if span == 1:
                 widths[at] = max([widths.get(at, 0), *map(_width, lines)])
-            at += span
+    known = sorted(widths)
+    sums = [0, *accumulate(widths[x] for x in known)]
     out = list(caption)
     for cells in rows:
-        for k in range(max((len(x) for x, _ in cells), default=0)):
-            line, at = "", 0
-            for lines, span in cells:
-                wide = sum(widths.get(i, 0) for i in range(at, at + span)) + 3 * (span - 1)
+        wide = [sums[bisect_left(known, at + span)] - sums[bisect_left(known, at)] + 3 * (span - 1) for at, _, span in cells]
+        for k in range(max((len(x) for _, x, _ in cells), default=0)):
+            line = []
+            for (_, lines, _), w in zip(cells, wide, strict=True):
                 s = lines[k] if k < len(lines) else ""
-                line += ("" if at == 0 else " | ") + s + " " * max(0, wide - _width(s))
-                at += span
-            out.append(line.rstrip())
+                line.append(s + " " * max(0, w - _width(s)))
+            out.append(" | ".join(line).rstrip())
     return out
 
 
@@ -524,7 +574,8 @@ def extract(html: str | None) -> str:
     before = sys.getrecursionlimit()
     sys.setrecursionlimit(max(before, 3 * depth + 1000))  # Python's own frames, which don't use the C stack
     try:
-        return "\n".join(_lines(root, Sheet(root)))
+        _prune(root, Sheet(root))
+        return "\n".join(_lines(root))
     finally:
         sys.setrecursionlimit(before)
 

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -406,6 +408,64 @@ def test_html_deep(n):
     assert html_extract.extract("<table><tr><td>" * m + "x") == "x"
 
 
+VISIBLE = {
+    "<p style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</p>": "yes",
+    "<style>.h{visibility:hidden}.v{visibility:visible}</style><div class=h>no<p class=v>yes<i class=h>no</i></div>": "yes",
+    "<style>.h{display:none}</style><p class=h style='display:block'>yes<p class=h>no": "yes",
+    "<style>.h{display:none !important}</style><p class=h style='display:block'>no<p>yes": "yes",
+    "<ol><li>a<li style='visibility:hidden'>no<li>c</ol>": "1. a\n3. c",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a | b\n  | c\nd | e",
+    "<table><tr><td colspan=2>both<td>x<tr><td>one<td>two<td rowspan=9>y<tr><td>three</table>": "both        | x\none   | two | y\nthree |     |",
+    "<p title='a>b' alt=\"<i>\">x</p>": "x",
+    "<p class=\"a\"\">x</p>y": "x\n\ny",
+    "x<a href=": "x",
+}
+
+
+@pytest.mark.parametrize("html,text", VISIBLE.items())
+def test_html_visible(html, text):
+    assert html_extract.extract(html) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b=\"", "<a '>'", "</b ", "<script>", "</script ", "<!--", "<b><i></b>", "<svg><p>", "<td rowspan=9 colspan=999>x", "<p a='"])
+def test_html_takes_linear_time(piece):
+    began = time.process_time()
+    html_extract.extract("<table><tr><td>x" + piece * (1_000_000 // len(piece) // (1 if piece[1] != "t" else 20)))
+    assert time.process_time() - began < 20  # a scan that starts over at each tag takes hours
+
+
+class Words(HTMLParser):
+    """Words of the text nodes that no element or attribute hides, found without a tree: the other way to read the test pages."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.off, self.found = 0, []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        gone = tag in ("script", "style", "head", "noscript", "template") or "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", "")
+        if tag not in html_extract.VOID and (self.off or gone):
+            self.off += 1
+
+    def handle_endtag(self, tag):
+        self.off = max(0, self.off - 1)
+
+    def handle_data(self, data):
+        if not self.off:
+            self.found += re.findall(r"\w+", data)
+
+
+def test_html_against_another_parser(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    same = 0
+    for page in pages:
+        got, want = Counter(re.findall(r"\w+", html_extract.extract(page))), Counter(Words(page).found)
+        same += not (want - got)
+        assert sum((want - got).values()) <= 0.02 * sum(want.values()) + 3
+    assert same >= 0.9 * len(pages)
+
+
 def test_html_odd(spark):
     rows = [(1, None), (1, None), (2, ""), (3, "<div>" * 5000 + "deep"), (4, "x" * 200_000), (None, "<p>y")]
     got = [(r.page_id, r.text) for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, html string"), ["page_id"]).collect()]
