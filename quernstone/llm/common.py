@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 #: Rows of a narrow table (ids, or ids with a few numbers: tens of bytes a row) that may be broadcast.
 BROADCAST_ROWS = 400_000
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_own_dir: list[str] = []
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes from which on an Arrow batch ends, whatever its rows; a single text may be longer.
+BATCH_BYTES = 16 << 20
 _shipped: set[str] = set()
 
 #: A-Z to a-z and nothing else, as the tokenisation contracts ask.
@@ -46,6 +49,7 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(archive))
     if spark.conf.get(_BATCH) == "10000":  # Spark's default; rows here are whole texts
         spark.conf.set(_BATCH, "2000")
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     return spark
 
 
@@ -73,14 +77,7 @@ def trim() -> None:
         pass
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a private one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="quernstone-"))
-    return f"file://{_own_dir[0]}"
+_made: list[tuple[str, str]] = []  # names and paths of the tables that materialise wrote
 
 
 def materialise(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
@@ -94,12 +91,31 @@ def materialise(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append((spark.sparkContext.applicationId, path))
     if tidy:
         del df
         for _ in range(2):  # the second frees what the first made unreachable
             gc.collect()
             spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._table = path
+    return out
+
+
+def mark() -> int:
+    """The place of the next table that materialise writes, for ``sweep``."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables that were written since ``mark()`` said ``since``, once all that reads them has been written; ``keep`` stays."""
+    stay = {x._table for x in keep}
+    sc = spark.sparkContext
+    for made in _made[since:]:
+        if made[0] == sc.applicationId and made[1] not in stay:
+            folder = sc._jvm.org.apache.hadoop.fs.Path(made[1])
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+            _made.remove(made)
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, lists: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, rehash
+from .common import mark, materialise, rehash, sweep
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,12 +28,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Self loops and nulls count as no edge; nodes without an edge don't appear.
     Each round is written to the shared folder, so a lost executor repeats at
-    most one round. Ends when a round changes nothing.
+    most one round; a round that the next has replaced is deleted. Ends when a
+    round changes nothing.
     """
+    spark, since = edges.sparkSession, mark()
     e = materialise(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct(), "edges")
     state = None
     for _ in range(max_rounds):
         e = materialise(_stars(_stars(e, True), False), "stars")
+        sweep(spark, since, e)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -10,7 +10,7 @@ hash, so no window is missed.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, lean, materialise, utf8
+from .common import chunks, lean, mark, materialise, sweep, utf8
 
 WINDOW, K = 8, 5
 #: Words of benchmark text that one broadcast block may hold (8 bytes a word and table); more words make more blocks.
 BLOCK_WORDS = 2_000_000
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def winnow(g: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
@@ -156,18 +157,34 @@ class Index:
         return np.unique(at[at >= begin])
 
 
+def _pieces(text: str, window: int) -> Iterator[str]:
+    """The text, or pieces of at most about BLOCK_WORDS words that overlap so far that each window is whole in one."""
+    if len(text) // 2 < BLOCK_WORDS:
+        yield text
+        return
+    bounds = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    if len(bounds) <= BLOCK_WORDS:
+        yield text
+        return
+    for lo in range(0, len(bounds), BLOCK_WORDS):
+        hi = min(len(bounds), lo + BLOCK_WORDS + window - 1)
+        if hi - lo >= window or lo == 0:  # fewer at the end are in the piece before
+            yield text[bounds[lo][0] : bounds[hi - 1][1]]
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, k: int) -> Iterator[tuple[Index, np.ndarray]]:
-    """Indexes over benchmark rows, of at most BLOCK_WORDS words each (a longer single item makes a block of its own)."""
+    """Indexes over benchmark rows, of at most about BLOCK_WORDS words each; a longer item comes in pieces."""
     ids, texts, size = [], [], 0
     rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     for r in rows.toLocalIterator():
-        n = len(r.t or "") // 2 + 1
-        if ids and size + n > BLOCK_WORDS:
-            yield Index.build(ids, texts, window, k), np.array(ids, object)
-            ids, texts, size = [], [], 0
-        ids.append(r.i)
-        texts.append(r.t)
-        size += n
+        for piece in _pieces(r.t or "", window):
+            n = min(len(piece) // 2, BLOCK_WORDS) + 1
+            if ids and size + n > BLOCK_WORDS:
+                yield Index.build(ids, texts, window, k), np.array(ids, object)
+                ids, texts, size = [], [], 0
+            ids.append(r.i)
+            texts.append(piece)
+            size += n
     yield Index.build(ids, texts, window, k), np.array(ids, object)
 
 
@@ -180,23 +197,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_co
     or no rows; repeated document rows each get their result. Columns of
     ``docs`` with the new names are replaced.
 
-    The benchmark is small next to the corpus, so its fingerprints go to the
-    documents: one broadcast per block of BLOCK_WORDS words. A benchmark of
-    several blocks is joined block by block, each pass adding to the spans and
-    items of the one before, so nothing unbounded is ever broadcast and no
-    document is shuffled.
+    The benchmark's fingerprints go to the documents: one broadcast per block
+    of BLOCK_WORDS words (about 100 MB at most). A benchmark of several blocks
+    is joined block by block, each pass adding to the spans and items of the
+    one before, so nothing unbounded is ever broadcast and no document is
+    shuffled; every further block costs a scan of the documents. Items longer
+    than a block are split so that each window is whole in a piece.
     """
     spark = docs.sparkSession
     out = docs.drop("n_words", "n_hit", "n_items", "spans", "items")
     kept = [c for c in out.columns if keep_text or c != "text"]
-    blocks = list(_blocks(benchmark, id_col, text_col, window, k))
-    for n, block in enumerate(blocks):
-        if n:
+    blocks = _blocks(benchmark, id_col, text_col, window, k)
+    block, since, before = next(blocks), mark(), None
+    while block is not None:  # the driver holds this block and the next
+        after = next(blocks, None)
+        if before is not None:
             out = materialise(out, "decontaminate")
-        last = n == len(blocks) - 1
+            sweep(spark, since, out)  # the pass before has been read
+        last, before = after is None, block
         fields = [f for f in out.schema.fields if f.name not in ADDED and (f.name in kept or not last)]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words long", "spans array<struct<begin:long,end:long>>", "items array<string>"])
         out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), [f.name for f in fields]), schema)
+        block = after
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
     return out.withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("long"))
 
@@ -243,7 +265,3 @@ def digest(found: DataFrame, min_items: int = 2) -> DataFrame:
     """Adds items_sha256 (hex of the sorted ids, comma-joined) and contaminated (at least ``min_items`` items)."""
     return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items").cast("binary"), 256)).withColumn("contaminated", F.col("n_items") >= min_items)
 
-
-def sha256_of(ids: list[str]) -> str:
-    """The digest that ``digest`` makes, for tests."""
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()

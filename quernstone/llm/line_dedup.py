@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, lean, materialise, rehash, small_enough, utf8
+from .common import chunks, lean, mark, materialise, rehash, small_enough, sweep, utf8
 
 
 @dataclass(frozen=True)
@@ -574,7 +574,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", params: Params = Params
     ``docs`` named n_lines, n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = small_enough(materialise(removals(docs, id_col, params), "removals", tidy=True).toDF("_doc", "_lines"), lists="_lines")
+    since = mark()
+    gone = materialise(removals(docs, id_col, params), "removals", tidy=True)
+    sweep(docs.sparkSession, since, gone)
+    gone = small_enough(gone.toDF("_doc", "_lines"), lists="_lines")
     both = docs.join(gone, docs[id_col].cast("long") == F.col("_doc"), "left").drop("_doc")
     feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     both = both.withColumn("n_lines", F.when(F.octet_length("text") > 0, feeds + 1).otherwise(0).cast("long"))

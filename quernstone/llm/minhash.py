@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import chunks, lean, materialise, rehash, small_enough, utf8
+from .common import chunks, lean, mark, materialise, rehash, small_enough, sweep, utf8
 from .components import connected_components
 
 
@@ -175,6 +175,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     any of them. Ids must fit a bigint. Other columns don't matter.
     """
     p = params
+    since = mark()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     feats = materialise(texts.mapInArrow(_features(p), _FEATURES), "signatures")
     full = feats.where("n > 0 and id is not null")
@@ -196,7 +197,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label = connected_components(links.union(more))
     # documents -> class -> component; ids of a class share its representative, ids with several classes join them
     of = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"))
-    out = feats.select("id", "n", "fp1", "fp2").join(materialise(of, "components"), ["fp1", "fp2", "n"], "left")
+    of = materialise(of, "components")
+    sweep(docs.sparkSession, since, feats, of)
+    out = feats.select("id", "n", "fp1", "fp2").join(of, ["fp1", "fp2", "n"], "left")
     return _one_per_id(out).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 

@@ -169,6 +169,17 @@ def test_decontaminate(spark, odd, block, monkeypatch):
     assert {r.n_items for r in decontaminate.scan(docs, bench.where("false")).collect()} == {0}
 
 
+def test_decontaminate_splits_long_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
+    rng = random.Random(3)
+    items = [(1, " ".join(f"w{rng.randrange(50)}" for _ in range(200))), (2, "Ä-b C9 d " * 31), (3, "w1 w2")]
+    words = items[0][1].split()
+    texts = {i: " ".join(words[i : i + rng.randrange(7, 12)]) for i in range(0, 195, 3)} | {900: items[1][1], 901: "w1 w2 w3"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in decontaminate.digest(decontaminate.scan(docs, spark.createDataFrame(items, "item_id long, text string"))).collect():
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == brute_hits(r.text, items)
+
+
 def test_quality_held_out(spark, odd):
     out = queries.op4_quality(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     r = out.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
@@ -271,6 +282,14 @@ def test_url_mining_against_brute_force(spark):
     assert {(tuple(sorted(r.antecedent)), r.verdict) for r in mined.collect()} == want
 
 
+def test_url_tokens_that_occur_together(spark):
+    rows = [([f"t{i:02}" for i in range(40)] + ["x"] * (k % 2), "block" if k % 2 else "allow") for k in range(60)]
+    mined = url_rules.mine(spark.createDataFrame(rows, "items array<string>, verdict string"))
+    got = {tuple(r.antecedent): r.verdict for r in mined.collect()}
+    assert got[("x",)] == "block" and got[("t03", "x")] == "block" and ("t00",) not in got
+    assert len(got) == 1 + 40 + 40 * 39 // 2 and {r.entry for r in mined.collect()} == {"x"}
+
+
 def test_mixing(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a, b = ({r.doc_id: r for r in mixing.mix(d).collect()} for d in (docs, docs.repartition(7)))
