@@ -20,25 +20,39 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 from .common import chunks, lean, materialise, utf8
 
-NAMES = ("length", "words", "word_len", "upper", "digit", "symbol", "strong", "pipe", "line", "spread", "repeat", "stutter", "common")
-#: Bytes counted as symbols: ASCII punctuation but . , ; : ' " - ? ( ) ; STRONG: those that running prose hardly has.
-_TABLE = np.zeros((256, 6), bool)
+NAMES = ("length", "words", "word_len", "upper", "digit", "symbol", "line", "spread", "repeat", "stutter", "common", "bytes", "marks", "mark_mark", "letter_mark", "mark_letter", "space_mark", "mark_space", "letter_digit")
+#: Bytes counted as symbols: ASCII punctuation but . , ; : ' " - ? ( ).
+_TABLE = np.zeros((256, 4), bool)
 _TABLE[0x41:0x5B, 0] = True  # upper
 _TABLE[0x30:0x3A, 1] = True  # digit
 for _c in b"!#$%&*+/<=>@[\\]^_`{|}~":
     _TABLE[_c, 2] = True
-for _c in b"#$%&*^~":
-    _TABLE[_c, 3] = True
-_TABLE[0x7C, 4] = True  # pipe
-_TABLE[0x0A, 5] = True  # line
+_TABLE[0x0A, 3] = True  # line
+#: Kinds of bytes: 0 letters and all non-ASCII, 1 digits, 2 spaces, 3 marks (all else).
+_KIND = np.where(ts.LETTERS, 0, 3).astype(np.int64)
+_KIND[0x30:0x3A] = 1
+_KIND[~ts.SPACED] = 2
+
+
+def _entropy(count: np.ndarray) -> np.ndarray:
+    """Bits a symbol of each row of counts."""
+    share = count / np.maximum(count.sum(axis=1), 1)[:, None]
+    return -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Transformed statistics (rows x len(NAMES)) of whole texts. Ratios are damped by 20 bytes or 5 words, so that short texts stay near the middle."""
+    """Transformed statistics (rows x len(NAMES)) of whole texts: sizes, shares of kinds of bytes and of their neighbourships, entropies, repetition.
+
+    Ratios are damped by 20 bytes or 5 words, so that short texts stay near the middle.
+    """
     n = np.diff(offsets).astype(np.float64)
     out = np.zeros((len(n), len(NAMES)))
-    kinds = np.bincount(np.repeat(np.arange(len(n)), offsets[1:] - offsets[:-1]).astype(np.int64) * 256 + data, minlength=len(n) * 256).reshape(-1, 256) if len(data) else np.zeros((len(n), 256))
-    count = kinds @ _TABLE.astype(np.float64)
+    at = np.repeat(np.arange(len(n)), np.diff(offsets))
+    bytes_of = np.bincount(at * 256 + data, minlength=len(n) * 256).reshape(-1, 256).astype(np.float64)
+    count = bytes_of @ _TABLE.astype(np.float64)
+    kind = _KIND[data]
+    inner = np.flatnonzero(at[1:] == at[:-1])
+    pair = np.bincount(at[inner] * 16 + kind[inner] * 4 + kind[inner + 1], minlength=len(n) * 16).reshape(-1, 16)
     w = ts.words(data, offsets, ts.SPACED)
     words = w.counts.astype(np.float64)
     row = w.row
@@ -50,15 +64,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     distinct = np.diff(first).astype(np.float64)
     common = np.bincount(row[(w.end - w.begin) <= 3], minlength=len(n)).astype(np.float64)
     bytes_, many = n + 20, words + 5
+    marks = bytes_of[:, _KIND == 3]
     out[:, 0] = np.log1p(n)
     out[:, 1] = np.log1p(words)
     out[:, 2] = np.log((lengths + 25) / many)
-    for j, k in enumerate((0, 1, 2, 3, 4, 5)):
-        out[:, 3 + j] = np.sqrt(count[:, k] / bytes_)
-    out[:, 9] = np.log((distinct + 5) / (np.sqrt(words) + 5))
-    out[:, 10] = np.sqrt((words - distinct) / many)
-    out[:, 11] = np.sqrt(stutter / many)
-    out[:, 12] = np.sqrt(common / many)
+    out[:, 3:7] = np.sqrt(count / bytes_[:, None])
+    out[:, 7] = np.log((distinct + 5) / (np.sqrt(words) + 5))
+    out[:, 8] = np.sqrt((words - distinct) / many)
+    out[:, 9] = np.sqrt(stutter / many)
+    out[:, 10] = np.sqrt(common / many)
+    out[:, 11] = _entropy(bytes_of)
+    out[:, 12] = _entropy(marks) * marks.sum(axis=1) / (marks.sum(axis=1) + 5)
+    for j, pairs in enumerate(((15,), (3,), (12,), (11,), (14,), (1, 4))):
+        out[:, 13 + j] = np.sqrt(pair[:, pairs].sum(axis=1) / bytes_)
     return out
 
 
@@ -173,7 +191,11 @@ def classify(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns. The text is read twice and never shuffled."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns. The text is read twice and never shuffled.
+
+    Null and empty texts are judged as an empty text; repeated rows one by one;
+    without labels of both classes every row stays.
+    """
     featured = materialise(with_features(docs, [id_col]), "features")
     model = docs.sparkSession.sparkContext.broadcast(fit(featured, labels, id_col, train=train))
     names = docs.columns

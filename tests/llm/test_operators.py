@@ -191,6 +191,25 @@ def test_quality_held_out(spark, odd):
     assert quality.keep_good(odd, labels.where("false")).count() == 9
 
 
+def test_quality_against_plain_densities(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1)}
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    x = {d: quality.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for d, t in rows}
+    part = [np.array([x[d] for d, _ in rows if y.get(d) == c]) for c in (0, 1)]
+    own = [np.cov(p.T, bias=True) for p in part]
+    log = {}
+    for c in (0, 1):
+        m = 0.5 * own[c] + 0.5 * (own[0] + own[1]) / 2
+        m = 0.9 * m + 0.1 * np.diag(np.diag(m)) + 1e-4 * np.eye(len(m))
+        for d, v in x.items():
+            z = v - part[c].mean(axis=0)
+            log[d, c] = np.log(len(part[c])) - 0.5 * (np.linalg.slogdet(m)[1] + z @ np.linalg.solve(m, z))
+    want = {d: 1 / (1 + np.exp(np.clip(log[d, 0] - log[d, 1], -700, 700))) for d in x}
+    assert set(got) == set(want) and max(abs(got[d] - want[d]) for d in want) < 1e-6
+
+
 def test_langid(spark, odd):
     out = queries.op5_langid(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert out.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
