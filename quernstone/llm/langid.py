@@ -137,7 +137,11 @@ class Model:
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED, bits: int = BITS) -> Model:
-        """Conditional likelihood by AdaGrad over mini-batches of documents; every word has its document's language."""
+        """Conditional likelihood by AdaGrad over mini-batches of documents and of lines spliced from two of them.
+
+        A document's words have its language; a spliced line's have those of
+        its parts, from which the transitions learn where languages switch.
+        """
         names = sorted(set(langs))
         y = np.array([names.index(x) for x in langs], np.int64)
         k = len(names)
@@ -146,10 +150,15 @@ class Model:
         rng = np.random.Generator(np.random.PCG64(seed))
         for _ in range(epochs if k > 1 else 0):
             for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 32)):
-                c = chains(*utf8(pa.array([texts[i] for i in part], pa.string())), bits)
+                mixed, where, second = spliced([texts[i] for i in part], y[part], rng)
+                data, offsets = utf8(pa.array([*(texts[i] for i in part), *mixed], pa.string()))
+                c = chains(data, offsets, bits)
                 if not len(c.row):
                     continue
-                truth = y[part][c.row]
+                truth = np.concatenate([y[part], second[:, 0]])[c.row]
+                place = c.begin - offsets[c.row]
+                for j, (a, b) in enumerate(where, len(part)):
+                    truth[(c.row == j) & (place >= a) & (place < b)] = second[j - len(part), 1]
                 post, expected = forward_backward(emissions(c, weight), c, trans, True)
                 delta = (-post / len(c.row)).astype(np.float32)
                 delta[np.arange(len(truth)), truth] += np.float32(1 / len(c.row))
@@ -161,8 +170,10 @@ class Model:
                 grad[0] = 0
                 gw += grad * grad
                 weight += rate * grad / np.sqrt(gw)
-                # words of a chain share their document's language: every observed transition is y -> y
-                seen = np.diag(np.bincount(y[part][c.row[c.start]], weights=c.size - 1, minlength=k))
+                on = np.ones(len(truth), bool)
+                on[c.start] = False  # words that follow another in their chain
+                on = np.flatnonzero(on)
+                seen = np.bincount(truth[on - 1] * k + truth[on], minlength=k * k).reshape(k, k)
                 step = (seen - expected) / max(1, len(c.row))
                 gt += step * step
                 trans += rate * step / np.sqrt(gt)
@@ -176,6 +187,23 @@ class Model:
         return c, forward_backward(emissions(c, self.weight), c, self.trans)[0]
 
 
+def spliced(texts: list[str], y: np.ndarray, rng: np.random.Generator) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
+    """Lines of a few words of one text with some of another language's in between or after; the byte bounds of those, and both languages."""
+    out, where, langs = [], [], []
+    for i in range(0, len(texts) - 1, 2):
+        a, b = texts[i].split(), texts[i + 1].split()
+        if y[i] == y[i + 1] or len(a) < 8 or len(b) < 8:
+            continue
+        p, q = int(rng.integers(len(a) - 7)), int(rng.integers(len(b) - 7))
+        head, more = int(rng.integers(2, 8)), int(rng.integers(2, 8))
+        left, inner = " ".join(a[p : p + head]) + " ", " ".join(b[q : q + more]) + " "
+        out.append(left + inner + " ".join(a[p + head : p + 7 + int(rng.integers(0, 5))]))
+        begin = len(left.encode())
+        where.append((begin, begin + len(inner.encode())))
+        langs.append((y[i], y[i + 1]))
+    return out, where, np.array(langs, np.int64).reshape(-1, 2)
+
+
 def means(c: Chains, post: np.ndarray, rows: int) -> np.ndarray:
     """Mean posterior by language of each row (rows x languages); rows without words are zero."""
     out = np.zeros((rows, post.shape[1]))
@@ -250,6 +278,7 @@ def train(docs: DataFrame, condition=None, id_col: str = "doc_id", sample: int =
     return Model.fit([r["text"] for r in got], [r["lang"] for r in got])
 
 
+_SHARE = pa.struct([("lang", pa.string()), ("share", pa.float64())])
 _WORD = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("posterior", pa.float64())])
 
 
@@ -265,10 +294,12 @@ def _labelled(c: Chains, post: np.ndarray, langs: list[str], data: np.ndarray, o
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with words, lang_pred and score (mean posterior, 0 to 1) for every row.
+    """Columns ``keep`` with words, shares, lang_pred and score (mean posterior, 0 to 1) for every row.
 
     words: array of struct(begin, end, lang, posterior), each word's bounds in
-    characters from 0 and its likeliest language. Null texts and texts without
+    characters from 0 and its likeliest language. shares: array of
+    struct(lang, share), the mean posterior of every language that isn't 0, in
+    the languages' order. Null texts and texts without
     a letter get no words, ``und`` and 0, as does every row without a model.
     Ties go to the language that sorts first.
     """
@@ -286,6 +317,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
                     letters[i] = bool(_LETTER.search(text[lo + i].as_py()))
                 if m is None:
                     p, words = np.zeros((hi - lo, 1)), pa.array([[]] * (hi - lo), pa.list_(_WORD))
+                    shares = pa.array([[]] * (hi - lo), pa.list_(_SHARE))
                 else:
                     c, post = m.label(piece, offs)
                     p = means(c, post, hi - lo)
@@ -294,11 +326,14 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
                 ok = letters & (top > 0)
                 if m is not None:
                     words = _labelled(c, post, m.langs, piece, offs, ok)
+                    some, which = np.nonzero((p > 0) & ok[:, None])
+                    each = pa.StructArray.from_arrays([pa.array(m.langs, pa.string()).take(pa.array(which)), pa.array(p[some, which].astype(np.float64))], fields=list(_SHARE))
+                    shares = pa.ListArray.from_arrays(pa.array(np.searchsorted(some, np.arange(hi - lo + 1)), pa.int32()), each)
                 lang = [m.langs[b] if good else "und" for b, good in zip(best.tolist(), ok.tolist(), strict=True)]
                 score = np.where(ok, np.minimum(top, 1.0), 0.0)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), words, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "words", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), words, shares, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "words", "shares", "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    words = "words array<struct<begin:long,end:long,lang:string,posterior:double>>"
+    words = "words array<struct<begin:long,end:long,lang:string,posterior:double>>, shares array<struct<lang:string,share:double>>"
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), f"{schema}, {words}, lang_pred string, score double")

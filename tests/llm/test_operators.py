@@ -236,6 +236,25 @@ def test_langid_labels_words(spark, odd):
     assert {len(r.words) for r in langid.identify(odd, None, ["doc_id"]).collect()} == {0}
 
 
+def test_langid_finds_switches_within_a_line(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and n_chars > 400")
+    model = langid.train(docs, crc_mod(F.col("doc_id"), 5) != 0)
+    held = [(r.lang, re.findall(r"[^\W\d_]{3,}", r.text)) for r in docs.where(crc_mod(F.col("doc_id"), 5) == 0).orderBy("doc_id").limit(120).collect()]
+    rng, rows = random.Random(4), []
+    for i, (a, left) in enumerate(held):
+        b, right = rng.choice([x for x in held if x[0] != a])
+        cut = rng.randrange(4, 9)
+        rows.append((i, " ".join([*left[:cut], *right[:8]]), [a] * cut + [b] * 8))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, want array<string>"), model, ["doc_id", "want"]).collect()}
+    assert np.mean([w.lang == x for r in got.values() for w, x in zip(r.words, r.want, strict=True)]) > 0.85
+    # the first word of the other language is found, give or take two
+    first = lambda langs: next((i for i, x in enumerate(langs) if x != langs[0]), len(langs))
+    assert np.mean([abs(first([w.lang for w in r.words]) - first(r.want)) <= 2 for r in got.values()]) > 0.75
+    assert all(abs(sum(x.share for x in r.shares) - 1) < 1e-6 and len(r.shares) >= 2 for r in got.values())
+    off = model.trans[~np.eye(len(model.langs), dtype=bool)]
+    assert (np.diag(model.trans).min() > off.max()) and np.isfinite(off).all()
+
+
 def test_langid_sample_has_every_language(spark, monkeypatch):
     rows = [(i, f"{'common plain words' if i else 'seldom met speech'} {i}", "aa" if i else "zz") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
