@@ -10,9 +10,11 @@ so nothing is counted twice, and is confirmed by the cosine of the original
 vectors in double precision.
 
 A cell may hold any number of vectors: it is dealt out in squares of at most
-``chunk`` homes by ``chunk`` askers, and a task returns, per vector, a number
-of links and one edge to the smallest vector of its local component, never
-the pairs.
+``chunk`` homes by ``chunk`` askers. What is dealt are a block's coordinates
+only; a first pass marks the vectors that have a partner under the block's
+budget, and whole vectors are fetched for the squares of marked ones. Then a
+task returns, per vector, a number of links and one edge to the smallest vector
+of its local component, never the pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, rehash
+from .common import lean, mark, materialise, rehash, small_enough, sweep
 from .components import connected_components
 
 
@@ -93,7 +95,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _slots(p: Params):
-    schema = ["block", "cell", "home", "cid"]
+    schema = ["block", "cell", "home", "cid", "coords"]
 
     def run(batches):
         for batch in batches:
@@ -104,13 +106,38 @@ def _slots(p: Params):
                 for part in np.array_split(rows, len(rows) // 4096 + 1):
                     x = flat[at[part][:, None] + np.arange(dim)]
                     space, cid, label = _space(int(dim), p), batch.column("cid").to_numpy()[part], batch.column("label").take(pa.array(part))
-                    for b, row, cell, home in space.cells(space.rotate(unit(x))):
-                        n = len(row)
-                        yield pa.RecordBatch.from_arrays([label.take(pa.array(row)), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(cell), pa.array(np.full(n, home)), pa.array(cid[row])], names=["label", "dim", *schema])
+                    rotated = space.rotate(unit(x))
+                    for b, row, cell, home in space.cells(rotated):
+                        n, (lo, hi) = len(row), space.blocks[b]
+                        at_ = pa.py_buffer((np.arange(n + 1) * (hi - lo) * 4).astype(np.int32))
+                        coords = pa.Array.from_buffers(pa.binary(), n, [None, at_, pa.py_buffer(np.ascontiguousarray(rotated[row, lo:hi], np.float32))])
+                        yield pa.RecordBatch.from_arrays([label.take(pa.array(row)), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(cell), pa.array(np.full(n, home)), pa.array(cid[row]), coords], names=["label", "dim", *schema])
 
     return lean(run)
 
 
+_KEY = ["label", "dim", "block", "cell", "hi", "gi"]
+
+
+def _mark(p: Params):
+    """The rows of one square that have a partner under the block's budget, as far as coordinates in single precision tell; these err on the side of keeping."""
+
+    def run(table: pa.Table) -> pa.Table:
+        budget = _space(table.column("dim")[0].as_py(), p).budget[table.column("block")[0].as_py()] + 1e-5
+        x = np.frombuffer(b"".join(table.column("coords").to_pylist()), np.float32).reshape(table.num_rows, -1)
+        home, cid = table.column("home").to_numpy(), table.column("cid").to_numpy()
+        h, g = np.flatnonzero(home), np.flatnonzero(~home)
+        size, hit = (x * x).sum(axis=1), np.zeros(table.num_rows, bool)
+        for part in np.array_split(g, max(1, len(g) * len(h) // 500_000 + 1)):
+            near = size[part][:, None] + size[h][None, :] - 2 * (x[part] @ x[h].T) <= budget
+            near &= cid[part][:, None] != cid[h][None, :]
+            hit[part] |= near.any(axis=1)
+            hit[h] |= near.any(axis=0)
+        return table.select([*_KEY, "home", "cid"]).filter(pa.array(hit))
+
+    return run
+
+
 def _square(p: Params):
     """Links of one square of one cell."""
 
@@ -176,32 +203,42 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vectors, zero vectors, vectors with null or non-finite components and rows
     with a null label or id link with nothing (component: their own id; kept).
     Equal vectors link with one another and count one by one. Rows that repeat
-    an id with different vectors share a component. Other columns don't matter.
+    an id with different vectors share a component; an empty table gives no
+    rows. Other columns don't matter.
     """
-    p = params
+    p, since = params, mark()
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vec"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & F.forall("vec", fine) & F.exists("vec", lambda x: x != 0), F.lit(False))
-    rows = materialise(rows.withColumn("good", good), "vectors")
-    classes = rows.where("good").groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
-    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")), "classes")
+    prints = [F.xxhash64("vec").alias("fp1"), F.xxhash64(F.lit(p.seed), "vec").alias("fp2")]
+    rows = materialise(rows.select("*", good.alias("good"), F.size("vec").alias("dim"), *prints, F.monotonically_increasing_id().alias("row")), "vectors")
+    # equal vectors are one class, named by its first row; only class rows carry the vector on
+    names = ["label", "dim", "fp1", "fp2"]
+    classes = rows.where("good").groupBy(*names).agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.min("row").alias("cid"))
+    classes = materialise(classes, "classes")
+    vectors = materialise(rows.select("row", "vec").join(classes.select("label", "dim", "cid", "rep", "mult"), F.col("row") == F.col("cid")).drop("row"), "class-vectors")
     kind = dict(classes.dtypes)["label"]
-    key = ["label", "dim", "block", "cell"]
-    slots = classes.select("label", "dim", "cid", "vec").mapInArrow(_slots(p), f"label {kind}, dim int, block int, cell long, home boolean, cid long")
+    key = _KEY[:4]
+    slots = vectors.select("label", "dim", "cid", "vec").mapInArrow(lean(_slots(p)), f"label {kind}, dim int, block int, cell long, home boolean, cid long, coords binary")
     slots = materialise(slots, "slots")
     many = slots.groupBy(*key).agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("askers")).where("homes > 0 and askers > 1")
     many = many.select(*key[:3], rehash("cell").alias("cell"), F.ceil(F.col("homes") / p.chunk).alias("hs"), F.ceil(F.col("askers") / p.chunk).alias("gs"))
+    many = small_enough(materialise(many, "cells"))
     own = F.pmod(F.xxhash64("cid"), F.when(F.col("home"), F.col("hs")).otherwise(F.col("gs")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("home"), F.col("gs")).otherwise(F.col("hs")) - 1))
     dealt = slots.join(many, key).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select(*key, "home", "cid", F.when(F.col("home"), F.col("own")).otherwise(F.col("other")).alias("hi"), F.when(F.col("home"), F.col("other")).otherwise(F.col("own")).alias("gi"))
-    squares = dealt.join(classes.select("cid", "rep", "mult", "vec"), "cid")
-    found = squares.groupBy(*key, "hi", "gi").applyInArrow(_square(p), "cid long, rep long, links long, low long")
+    hi, gi = (F.when(F.col("home") == at_home, F.col("own")).otherwise(F.col("other")) for at_home in (True, False))
+    dealt = dealt.select(*key, "home", "cid", "coords", hi.alias("hi"), gi.alias("gi"))
+    marked = dealt.groupBy(*_KEY).applyInArrow(_mark(p), f"label {kind}, dim int, block int, cell long, hi long, gi long, home boolean, cid long")
+    marked = materialise(marked, "marked")
+    squares = marked.join(vectors.select("cid", "rep", "mult", "vec"), "cid")
+    found = squares.groupBy(*_KEY).applyInArrow(_square(p), "cid long, rep long, links long, low long")
     found = materialise(found, "links")
     label = connected_components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")))
     n = found.groupBy("cid").agg(F.sum("links").alias("links"))
     of = classes.join(n, "cid", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    of = materialise(of.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "classes")
+    of = materialise(of.select(*names, (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "components")
+    sweep(df.sparkSession, since, rows, of)
     bad = rows.where("not good").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
-    out = rows.where("good").join(of, ["label", "vec"]).select("id", "links", "component").union(bad)
+    out = rows.where("good").select("id", *names).join(of, names).select("id", "links", "component").union(bad)
     return out.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -409,6 +409,15 @@ def test_vectors(spark, chunk):
         assert got[i] == (len(links[i]), min(seen), i == min(seen))
 
 
+def test_vectors_repeated_ids_and_empty(spark):
+    a, b, c = [1.0, 0.0, 0.2], [1.0, 0.01, 0.2], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, a, 0), (1, c, 0), (2, b, 0), (3, c, 0), (4, a, 1), (None, a, 0), (5, [0.0, -0.0, 1.0], 0), (6, [0.0, 0.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df).collect())
+    assert got == [(-1, 0, None), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4), (5, 1, 5), (6, 1, 5)]
+    assert vector_dedup.near_duplicates(df.where("false")).count() == 0
+
+
 PAGES = {
     "<p>One<p>Two": "One\n\nTwo",
     "<ul><li>a<li>b<ul><li>c</ul></ul>": "- a\n- b\n  - c",
