@@ -50,12 +50,13 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     m = messages.where("tree is not null and node is not null").select("tree", "node", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     m = m.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("x")).select("tree", "node", "x.*")
     m = materialise(m, "messages")
+    ids = m.select("tree", "node", "score")  # texts stay behind until the paths are chosen
     up = m.where("parent is not null and parent <> node").select("tree", "node", F.col("parent").alias("to"))
     up = materialise(up.join(m.select("tree", F.col("node").alias("to")), ["tree", "to"], "left_semi"), "replies")
     leaf = m.select("tree", "node").join(up.select("tree", F.col("to").alias("node")).distinct(), ["tree", "node"], "left_anti")
     walk = leaf.select("tree", F.col("node").alias("path"), "node", F.lit(0).cast("long").alias("depth"))
     jump, reach = up, 1
-    most = m.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    most = ids.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     while reach < most and not jump.isEmpty():
         step = jump.select("tree", F.col("node").alias("n"), "to")
         # those at the far edge of what is known so far go on by ``reach``
@@ -64,13 +65,14 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
         nxt = step.select(F.col("tree").alias("t"), F.col("n").alias("mid"), F.col("to").alias("far"))
         jump = materialise(jump.join(nxt, (jump["tree"] == nxt["t"]) & (jump["to"] == nxt["mid"])).select("tree", "node", F.col("far").alias("to")), "jump")
         reach *= 2
-    full = walk.join(m, ["tree", "node"])
+    full = walk.join(ids, ["tree", "node"])
     if top is not None:
         score = full.groupBy("tree", "path").agg((F.sum("score") / F.count("*")).alias("score"))
         best = score.withColumn("place", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "path"))).where(F.col("place") <= top)
         full = full.join(materialise(best.select("tree", "path"), "best"), ["tree", "path"])
     deepest = W.partitionBy("tree", "path")
-    return full.withColumn("pos", F.max("depth").over(deepest) - F.col("depth")).select("tree", "path", "pos", "node", "role", "text")
+    full = full.select("tree", "path", (F.max("depth").over(deepest) - F.col("depth")).alias("pos"), "node")
+    return full.join(m.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree", "path", "pos", "node", "role", "text")
 
 
 def format_paths(turns: DataFrame, assistant: str = "assistant") -> DataFrame:

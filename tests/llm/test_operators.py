@@ -385,6 +385,39 @@ def test_reply_tree_branches(spark):
     assert [(r.path, r.formatted) for r in best] == [(4, "### user: q</turn>\n### assistant: good</turn>\n### user: more</turn>\n")]
 
 
+def brute_paths(rows):
+    """The best root-to-leaf path of each tree: by mean score, then by leaf."""
+    out = {}
+    for tree in {r[0] for r in rows}:
+        of = {n: (p, role, text, s or 0.0) for t, n, p, role, text, s in rows if t == tree}
+        leaves = set(of) - {p for p, *_ in of.values()}
+        ways = {}
+        for leaf in leaves:
+            way = [leaf]
+            while of[way[-1]][0] in of:
+                way.append(of[way[-1]][0])
+            ways[leaf] = way[::-1]
+        best = min(ways, key=lambda x: (-sum(of[n][3] for n in ways[x]) / len(ways[x]), x))
+        out[tree] = "".join(f"### {of[n][1]}: {of[n][2]}</turn>\n" for n in ways[best])
+    return out
+
+
+def test_reply_trees_against_brute_force(spark):
+    rng, rows = random.Random(8), []
+    for t in range(12):
+        for n in range(1, rng.randrange(2, 60)):
+            rows.append((f"t{t}", n, rng.randrange(max(1, n - 4), n) if n > 1 and rng.random() < 0.97 else None, rng.choice(["user", "assistant"]), f"say {n}", rng.choice([0.25, 0.5, 1.0])))
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    got = {r.tree: r.formatted for r in chat_trees.format_paths(chat_trees.paths(df)).collect()}
+    assert got == brute_paths(rows)
+
+
+def test_long_conversation(spark):
+    rows = spark.range(5000).selectExpr("'c' as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn #', id) as text")
+    back = chat_trees.read_back(chat_trees.format_paths(chat_trees.paths(chat_trees.threads(rows)))).first()
+    assert [t.text for t in back.turns] == [f"turn #{i}" for i in range(5000)] and back.loss_text == "".join(f"turn #{i}" for i in range(1, 5000, 2))
+
+
 @pytest.mark.parametrize("chunk", [1024, 3])
 def test_vectors(spark, chunk):
     rng = np.random.default_rng(3)
