@@ -346,6 +346,7 @@ def _pairs(rows: np.ndarray, first: np.ndarray, last: np.ndarray, p: Params, ski
         ok = np.minimum(room[a], room[b]) >= need
         a, b, slack = a[ok], b[ok], (both - 2 * need)[ok]
         ok = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= slack
+        ok &= (doc[a] != doc[b]) | (line[a] != line[b])  # rows that repeat an id post the same place twice
         a, b = a[ok], b[ok]
         swap = (doc[a] > doc[b]) | (doc[a] == doc[b]) & (line[a] > line[b])
         found = np.stack([np.where(swap, a, b), np.where(swap, b, a)])
@@ -569,7 +570,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", params: Params = Params
 
     Null texts stay null and blank lines stay. Rows with a null id keep all
     their lines and remove none elsewhere. Rows that repeat an id are one
-    document: they lose the same line numbers and none to one another. A line
+    document: they lose the same line numbers, and lines of the same number
+    none to one another. A line
     goes with its line feed. A column n_chars is brought up to date; columns of
     ``docs`` named n_lines, n_removed are replaced.
     """

@@ -113,6 +113,39 @@ def test_line_dedup(spark, bucket):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, params=line_dedup.Params(bucket=bucket)).collect()} == brute_lines(texts)
 
 
+def test_line_dedup_repeated_rows(spark):
+    text = "a first line of seven different words\nand a second one that is longer still"
+    rows = [(4, text), (4, text), (9, text + "\nown words of this document alone"), (4, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [(4, text)] * 3 + [(9, "own words of this document alone")]
+
+
+@pytest.mark.parametrize("p", [line_dedup.Params(hot=7, reach=2, hold=30), line_dedup.Params(hot=40, reach=3, bucket=50)])
+def test_line_dedup_hot_keys(spark, p):
+    rng = random.Random(5)
+    pool = near_texts(25, 3, 30)
+    texts = {d: "\n".join(rng.choice(pool) for _ in range(4)) for d in range(40)}
+    others = [f"c{i}" for i in range(40)]  # a rare word that lines share which mostly differ
+    texts |= {100 + d: "\n".join(" ".join(["rare", *rng.sample(others, rng.randrange(4, 9))]) for _ in range(5)) for d in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, params=p).collect()} == brute_lines(texts)
+
+
+def test_line_dedup_many_postings_of_a_word(spark):
+    # 20,000 lines of 9 of 22 words in any order: words are in thousands of prefixes, more than ``hot``
+    rng, lines = random.Random(7), []
+    for _ in range(20_000):
+        lines.append(rng.sample(range(22), 9))
+    texts = [(d, " ".join(f"w{x}" for x in line)) for d, line in enumerate(lines)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df, params=line_dedup.Params(hot=2000)).collect()}
+    bits = np.array([sum(1 << x for x in line) for line in lines])
+    for d in range(len(lines)):
+        both = np.bitwise_count(bits[:d] & bits[d]).astype(int)
+        assert got[d] == int((100 * both >= 80 * (18 - both)).any())
+
+
 def test_line_dedup_short_lines(spark):
     rng = random.Random(6)
     pool = ["Les.", "les. LES.", "a b", "b  a", "a b a b a", "a b c", "c b a", "a b c d", "a b c d e", "\u6ca1\u6709\u7a7a\u683c" * 9, "x"]

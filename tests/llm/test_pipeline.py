@@ -70,5 +70,25 @@ def test_short_item_alone_rejects_nothing(spark, tmp_path):
     assert {r.doc_id for r in cp.decontamination_stage(spark, docs, str(tmp_path)).collect()} == {1, 2, 4, 5, 6}
 
 
+def test_stages_on_odd_rows(spark):
+    long = " ".join(f"w{i % 4000}" for i in range(50_000))
+    plain = "a plain first line of words\nand another line that says more than that"
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t", "en", None, 3), (4, plain, "en", "a", 70), (4, plain, "en", "a", 70), (4, plain, "fr", "b", 70), (5, plain.upper(), "en", "b", 70), (None, plain, "en", "a", 70), (6, long, "de", "b", len(long)), (7, "x y z " * 20, None, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for clash in ("n_lines", "n_removed", "score", "x", "spans", "items", "n_words", "id", "component", "key", "row", "size", "_less", "doc"):
+        docs = docs.withColumn(clash, F.lit("clash"))
+    docs = materialise(docs, "odd")
+    got = {}
+    for _, stage in cp.STAGES:
+        out = stage(spark, docs, SF)
+        got[stage] = sorted(((r.doc_id or -1) for r in out.collect()))
+        assert stage is cp.mixing_stage or out.columns == docs.columns
+    every = [-1, 1, 2, 3, 4, 4, 4, 5, 6, 7]
+    assert {1, 2, 3} <= set(got[cp.line_stage]) and got[cp.line_stage].count(4) == 3 and 5 not in got[cp.line_stage]
+    assert got[cp.near_duplicate_stage] == [-1, 1, 2, 3, 4, 6, 7]
+    assert got[cp.decontamination_stage] == got[cp.mixing_stage] == every
+    assert set(got[cp.quality_stage]) <= set(every)
+
+
 def test_run(spark):
     assert cp.run(spark, SF).agg(F.sum("taken")).first()[0] > 0
