@@ -21,8 +21,9 @@ from ..session import scratch_dir
 BROADCAST_ROWS = 400_000
 
 _BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+_READ = "spark.sql.parquet.columnarReaderBatchSize"
 #: Bytes from which on an Arrow batch ends, whatever its rows; a single text may be longer.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _shipped: set[str] = set()
 
 #: A-Z to a-z and nothing else, as the tokenisation contracts ask.
@@ -50,6 +51,8 @@ def ship(spark: SparkSession) -> SparkSession:
     if spark.conf.get(_BATCH) == "10000":  # Spark's default; rows here are whole texts
         spark.conf.set(_BATCH, "2000")
         spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    if spark.conf.get(_READ) == "4096":  # Spark's default too
+        spark.conf.set(_READ, "512")
     return spark
 
 

@@ -49,7 +49,7 @@ class Params:
     bucket: int = 100_000  # postings of a task's array, about
     hot: int = 8192  # postings of a key from which on they are dealt out in squares of so many
     reach: int = 64  # neighbours, by length, that a hot key's posting meets in the first round
-    hold: int = 2_000_000  # postings that a task holds before it passes on those of hot keys
+    hold: int = 500_000  # postings that a task holds before it passes on those of hot keys
 
     @property
     def joined(self) -> int:
@@ -208,7 +208,7 @@ def _cells(rows: np.ndarray, bucket: np.ndarray, kind: int, most: int = 1 << 14)
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(np.full(len(cut), kind, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "packed"])
 
 
-def _postings(shared, p: Params, buckets: int, window: int = 6 << 20):
+def _postings(shared, p: Params, buckets: int, window: int = 4 << 20):
     """Prefix postings. Equal lines within a window of texts are posted once, at their first place."""
 
     def flush(held):
@@ -304,7 +304,7 @@ def across(left: np.ndarray, right: np.ndarray, p: Params, asking: np.ndarray) -
     return rows, *_pairs(rows, low, high, p, 0, 1 << 62, asking)
 
 
-def _pairs(rows: np.ndarray, first: np.ndarray, last: np.ndarray, p: Params, skip: int, take: int, asking: np.ndarray | None, block: int = 1 << 18, hold: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(rows: np.ndarray, first: np.ndarray, last: np.ndarray, p: Params, skip: int, take: int, asking: np.ndarray | None, block: int = 1 << 18, hold: int = 300_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier, more) of the pairs of each row with the rows from ``first`` to before ``last``, none of which is shorter."""
     asks = np.ones(len(rows), bool)
     if asking is not None:
@@ -488,7 +488,7 @@ def _sets(p: Params):
     def run(batches):
         for batch in batches:
             doc, lines = batch.column("doc").to_numpy(), batch.column("lines")
-            for lo, hi, data, offsets in _texts(batch, 4 << 20):
+            for lo, hi, data, offsets in _texts(batch, 1 << 20):
                 asked = lines.slice(lo, hi - lo)
                 row, line = np.repeat(np.arange(hi - lo), asked.value_lengths().to_numpy()), asked.flatten().to_numpy().astype(np.int64)
                 w = ts.words(*_cut_out(data, offsets, row, line))

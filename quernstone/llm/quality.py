@@ -40,6 +40,24 @@ def _entropy(count: np.ndarray) -> np.ndarray:
     return -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
 
 
+def _counted(data: np.ndarray, offsets: np.ndarray, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each row's bytes, and of its pairs of neighbouring kinds. Long rows are counted in pieces, as a byte takes some tens of bytes on the way."""
+    rows = len(offsets) - 1
+    bytes_of, pair = np.zeros((rows, 256)), np.zeros((rows, 16))
+    for lo in range(0, len(data), piece):
+        part = data[lo : lo + piece + 1]  # and the byte after, for the last pair
+        hi = min(lo + piece, len(data))
+        a, b = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))
+        at = np.repeat(np.arange(b - a), np.diff(np.clip(offsets[a : b + 1], lo, hi)))
+        bytes_of[a:b] += np.bincount(at * 256 + part[: hi - lo], minlength=(b - a) * 256).reshape(-1, 256)
+        kind = _KIND[part]
+        inner = np.ones(len(part) - 1, bool)
+        ends = offsets[(offsets > lo) & (offsets <= lo + len(inner))]
+        inner[ends - lo - 1] = False
+        pair[a:b] += np.bincount((at[: len(inner)] * 16 + kind[:-1] * 4 + kind[1:])[inner], minlength=(b - a) * 16).reshape(-1, 16)
+    return bytes_of, pair
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Transformed statistics (rows x len(NAMES)) of whole texts: sizes, shares of kinds of bytes and of their neighbourships, entropies, repetition.
 
@@ -47,12 +65,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """
     n = np.diff(offsets).astype(np.float64)
     out = np.zeros((len(n), len(NAMES)))
-    at = np.repeat(np.arange(len(n)), np.diff(offsets))
-    bytes_of = np.bincount(at * 256 + data, minlength=len(n) * 256).reshape(-1, 256).astype(np.float64)
+    bytes_of, pair = _counted(data, offsets)
     count = bytes_of @ _TABLE.astype(np.float64)
-    kind = _KIND[data]
-    inner = np.flatnonzero(at[1:] == at[:-1])
-    pair = np.bincount(at[inner] * 16 + kind[inner] * 4 + kind[inner + 1], minlength=len(n) * 16).reshape(-1, 16)
     w = ts.words(data, offsets, ts.SPACED)
     words = w.counts.astype(np.float64)
     row = w.row

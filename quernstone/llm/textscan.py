@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 _U = np.uint64
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _P = 0x9E3779B97F4A7C15 | 1
@@ -86,7 +86,7 @@ def _bounds(is_word: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED, fold: np.ndarray = LOWERED) -> Words:
     """Words of the rows ``data[offsets[i]:offsets[i+1]]``; offsets start at 0. A word never spans two rows.
 
-    Works through pieces of a few MB cut at non-word bytes, so that a very long
+    Works through pieces of a MB cut at non-word bytes, so that a very long
     row needs 24 bytes a word and no array of its own length times eight.
     """
     n = int(offsets[-1])
