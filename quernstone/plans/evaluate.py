@@ -22,6 +22,13 @@ def top_lists(queries: DataFrame, patterns: DataFrame, k: int = K) -> DataFrame:
     return pairs.withColumn("sim", dot(F.col("embedding"), F.col("vector"))).withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", "pattern", "rank")
 
 
+def quantised(patterns: DataFrame, levels: int = 127) -> DataFrame:
+    """``patterns`` with embeddings as an index of signed bytes would serve them: rounded to ``levels`` steps of their largest component."""
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    x = patterns.withColumn("_m", largest)
+    return x.withColumn("embedding", F.transform("embedding", lambda v: F.floor(v.cast("double") * levels / F.col("_m") + 0.5).cast("double") * F.col("_m") / levels)).drop("_m")
+
+
 def recall(exact: DataFrame, served: DataFrame, k: int = K) -> DataFrame:
     """(query_id, recall) of two top lists."""
     common = exact.select("query_id", "pattern").join(served.select("query_id", "pattern"), ["query_id", "pattern"], "left_semi").groupBy("query_id").agg(F.count("*").alias("c"))

@@ -331,10 +331,12 @@ _TOPS = f"""{_PATTERNS}, eq AS (SELECT vec_id AS query_id, CAST(embedding AS DOU
 tops AS (SELECT query_id, pattern, row_number() OVER (PARTITION BY query_id ORDER BY list_sum(list_transform(list_zip(e, q), lambda z: z[1] * z[2])) DESC, pattern) AS rank FROM pat, eq)"""
 
 
-@register(f"WITH {_TOPS}, a AS (SELECT query_id, pattern FROM tops WHERE rank <= 10), b AS (SELECT query_id, pattern FROM tops WHERE rank <= 12 AND rank > 2) SELECT query_id, round(count(b.pattern) / 10, 4) AS recall FROM a LEFT JOIN b USING (query_id, pattern) GROUP BY query_id")
-def recall_at_10(spark, d):
-    top = E.top_lists(_eval_queries(spark, d), X.patterns(spark, d), 12)
-    return E.recall(top.where("rank <= 10"), top.where("rank > 2"))
+@register(f"""WITH {_TOPS}, p8 AS (SELECT pattern, list_transform(e, lambda x: floor(x * 127 / m + 0.5) * m / 127) AS e FROM (SELECT pattern, e, list_max(list_transform(e, lambda x: abs(x))) AS m FROM pat)),
+t8 AS (SELECT query_id, pattern, row_number() OVER (PARTITION BY query_id ORDER BY list_sum(list_transform(list_zip(e, q), lambda z: z[1] * z[2])) DESC, pattern) AS rank FROM p8, eq),
+a AS (SELECT query_id, pattern FROM tops WHERE rank <= 10), b AS (SELECT query_id, pattern FROM t8 WHERE rank <= 10) SELECT query_id, round(count(b.pattern) / 10, 4) AS recall FROM a LEFT JOIN b USING (query_id, pattern) GROUP BY query_id""")
+def served_recall_at_10(spark, d):
+    q, p = _eval_queries(spark, d), X.patterns(spark, d)
+    return E.recall(E.top_lists(q, p), E.top_lists(q, E.quantised(p)))
 
 
 @register(f"""WITH {_TOPS}, lab AS (SELECT query_id, pattern, CASE WHEN category = 'PROMO' THEN 1 ELSE 0 END AS label FROM eq, cnt WHERE category <> 'LARGE')
@@ -356,7 +358,13 @@ def pooled_candidates(spark, d):
 QUESTIONS = ["Where in Brooklyn is stormwater not draining?", "Which agencies does a single catch-basin complaint actually involve?", "Which district's drainage complaints grew fastest last year?", "Top 10 districts for catch-basin clogging citywide?", "What problems tend to co-occur with catch-basin clogging?"]
 
 
-@register()
+@register("""SELECT * FROM (VALUES
+('Where in Brooklyn is stormwater not draining?', 'stormwater not draining', 'borough', 'BROOKLYN', 'community_board', NULL, 'distribution', NULL, ['geo:borough=BROOKLYN', 'geo:group_by_district', 'agg:distribution']),
+('Which agencies does a single catch-basin complaint actually involve?', 'single catch-basin', NULL, NULL, NULL, NULL, 'agency_facets', NULL, ['agg:agency_facets']),
+('Which district''s drainage complaints grew fastest last year?', 'drainage', NULL, NULL, 'community_board', '2025-07-01', 'trend', NULL, ['time:past_year', 'agg:trend', 'geo:group_by_district']),
+('Top 10 districts for catch-basin clogging citywide?', 'catch-basin clogging', 'citywide', NULL, 'community_board', NULL, 'topn', 10, ['geo:citywide', 'agg:topn', 'geo:group_by_district']),
+('What problems tend to co-occur with catch-basin clogging?', 'problems tend to with catch-basin clogging', NULL, NULL, NULL, NULL, 'cooccurrence', NULL, ['agg:cooccurrence'])
+) t(question, topic, scope, borough, group_by, gte, type, top_n, matched_rules)""")
 def parse_queries(spark, d):
     rows = [(q, p.topic, p.geo.scope, p.geo.borough, p.geo.group_by, p.time_range and p.time_range.gte, p.aggregation and p.aggregation.type, p.aggregation and p.aggregation.top_n, list(p.matched_rules)) for q in QUESTIONS for p in [parse(q, date(2026, 7, 1))]]
     return spark.createDataFrame(rows, "question string, topic string, scope string, borough string, group_by string, gte string, type string, top_n int, matched_rules array<string>")

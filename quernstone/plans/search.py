@@ -14,7 +14,7 @@ from ..operators import retrieval as R
 from ..operators import text as T
 from .parser import Expand, ParsedQuery, parse
 
-RECORD_FIELDS = ["key", "created", "category", "descriptor", "borough", "board", "agency", "domain", "agencies"]
+RECORD_FIELDS = ["key", "created", "category", "descriptor", "borough", "board", "agency", "status", "domain", "agencies"]
 
 
 def vector_column(v: list[float]):
@@ -42,7 +42,7 @@ class Engine:
         agg, base = parsed.aggregation, A.on_topic(scoped, selected)
         rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
         if agg.expand is not None:
-            found = rows(A.drill_down(base, agg.expand.group_value, agg.expand.size, columns=RECORD_FIELDS))
+            found = rows(A.drill_down(base, agg.expand.group_value, agg.expand.size, columns=[c for c in RECORD_FIELDS if c in self.records.columns]))
             total = found[0]["total"] if found else base.where(F.col("board") == agg.expand.group_value).count()
             return {"type": "records", "group_value": agg.expand.group_value, "total": total, "records": [{k: v for k, v in r.items() if k != "total"} for r in found]}
         hint = lambda d: {"expand_group": d, "agg_type": agg.type}

@@ -5,14 +5,16 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions.columns import any_timestamp, pattern_text
+from quernstone.functions.columns import any_timestamp, pattern_text, unit
 from quernstone.operators import aggregations as A
 from quernstone.operators import facets as FA
 from quernstone.operators import ingest as I
 from quernstone.operators import patterns as P
 from quernstone.operators import retrieval as R
 from quernstone.operators import text as T
+from quernstone.plans import evaluate as E
 from quernstone.plans.parser import parse
+from quernstone.plans.queries import QUERIES
 from quernstone.plans.search import Engine
 from quernstone.schema import FACETS, STAGING, STAGING_COLUMNS
 from quernstone.sources.publish import CountError, publish, read_current
@@ -40,7 +42,7 @@ def test_clean_and_upsert(spark):
     two = I.clean(staged(spark, {"unique_key": "1", "created_date": "2025-02-01T00:00:00", "status": "Closed"}, {"unique_key": "2", "created_date": "2025-02-02"}), "second")
     merged = I.upsert(one, two, "unique_key")
     assert {(r.unique_key, r.status, r.source) for r in merged.collect()} == {(1, "Closed", "first"), (2, None, "second")}
-    assert I.upsert(merged, two, "unique_key").select("unique_key", "status", "source").collect().sort() == merged.select("unique_key", "status", "source").collect().sort()
+    assert sorted(map(str, I.upsert(merged, two, "unique_key").select("unique_key", "status", "source").collect())) == sorted(map(str, merged.select("unique_key", "status", "source").collect()))
     with pytest.raises(I.DuplicateKeyError):
         I.upsert(one, two.union(two), "unique_key")
 
@@ -181,6 +183,27 @@ def test_select_lexical(spark):
     assert pick("catch-basin") == [("Catch Basin Clogged", "vector"), ("Near", "vector")]
 
 
+def test_unit_and_record_facets(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
+    assert [r[0] for r in df.select(unit(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+    records = spark.createDataFrame([(1, "a"), (2, "a"), (3, "none")], "unique_key long, embed_text string")
+    assert {(r.unique_key, r.problem_domain) for r in P.record_facets(records, facet_rows(spark)).collect()} == {(1, "drainage"), (2, "drainage")}
+
+
+def test_report(tmp_path):
+    assert E.percentile([1.0, 2.0, 3.0, 4.0], 0.5) == 2.0 and E.percentile([7.0], 0.95) == 7.0
+    path = E.write_report(str(tmp_path), [{"query_id": "q1", "recall": 0.9}, {"query_id": "q2", "recall": 1.0}])
+    said = open(path).read()
+    assert "mean 0.9500, min 0.90" in said and "PASS" in said and "- q1: 0.90" in said and "q2" not in said and "pending" in said
+
+
+@pytest.mark.parametrize("name", ["topn_districts", "distribution_by_district", "drilldown_records", "trend_growth", "cooccurrence_lift", "consensus_rerank", "hybrid_representatives"])
+def test_questions_scan_records_twice_at_most(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    first = plan.split("== Initial Plan ==")[-1]
+    assert "lineitem.parquet" not in first and first.count("/serving") <= 2
+
+
 def test_stemmer():
     words = {"caresses": "caress", "ponies": "poni", "relational": "relat", "hopping": "hop", "flooding": "flood", "agreed": "agre", "happy": "happi", "adjustment": "adjust", "controlling": "control"}
     assert {w: T.stem(w) for w in words} == words
