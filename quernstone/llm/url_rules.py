@@ -10,7 +10,6 @@ DataFrame operations and the JVM's FP-growth.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -53,16 +52,16 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(parts))
 
 
-def _alike(rows: DataFrame, support: float) -> dict[str, list[str]]:
-    """The frequent items, as classes of those that always occur together, by the first of each.
+def _alike(rows: DataFrame, support: float) -> DataFrame:
+    """(first, of): the frequent items, as classes of those that always occur together, with the first of each.
 
     A row holds few items of its share of ``1 / support``, so there are few.
     """
     least = math.ceil(support * rows.count())
     each = rows.select(F.monotonically_increasing_id().alias("row"), "items").select("row", F.explode(F.array_distinct("items")).alias("item"))
     prints = each.groupBy("item").agg(F.count("*").alias("c"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("p")).where(F.col("c") >= least)
-    found = prints.groupBy("c", "p").agg(F.sort_array(F.collect_list("item")).alias("of")).collect()
-    return {r["of"][0]: r["of"] for r in found}
+    found = prints.groupBy("c", "p").agg(F.sort_array(F.collect_list("item")).alias("of"))
+    return materialise(found.select(F.col("of")[0].alias("first"), "of"), "url-tokens")
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame | None:
@@ -78,21 +77,25 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if rows.isEmpty():
         return None
     alike = _alike(labelled, support)
-    names = F.array(*[F.lit(x) for x in [*alike, BLOCK, ALLOW]])
+    names = F.array(*[F.lit(x) for x in [*(r["first"] for r in alike.select("first").collect()), BLOCK, ALLOW]])
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows.select(F.array_intersect("items", names).alias("items")))
     decided = F.element_at("consequent", 1)
     found = model.associationRules.where(decided.isin(BLOCK, ALLOW) & (F.size("antecedent") <= longest) & (F.col("lift") > 1))
     alone = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("first"), "freq")
-    spark = labelled.sparkSession
-    parts = [(first, list(c)) for first, of in alike.items() for k in range(1, longest + 1) for c in combinations(of, k)]
-    parts = spark.createDataFrame(parts, "first string, part array<string>")
+    grown = alike.select("first", "of", F.explode("of").alias("y")).select("first", "of", F.array("y").alias("part"))
+    parts = grown.select("first", "part")
+    for _ in range(longest - 1):
+        more = F.explode(F.filter("of", lambda y: y > F.element_at("part", -1)))
+        grown = grown.select("first", "of", "part", more.alias("y")).select("first", "of", F.array_append("part", F.col("y")).alias("part"))
+        parts = parts.union(grown.select("first", "part"))
+    parts = materialise(parts, "url-token-choices")
     found = found.select("antecedent", F.substring_index(decided, "=", -1).alias("verdict"), "confidence", "support", F.array().cast("array<string>").alias("spelled"))
     for i in range(longest):  # each item by each choice of the tokens that it stands for
         one = found.where(F.size("antecedent") > i).join(parts, F.col("antecedent")[i] == F.col("first"))
         one = one.select("antecedent", "verdict", "confidence", "support", F.concat("spelled", "part").alias("spelled")).where(F.size("spelled") <= longest)
         found = one.union(found.where(F.size("antecedent") <= i))
     found = found.select(F.array_sort("spelled").alias("antecedent"), "verdict", "confidence", "support")
-    of = spark.createDataFrame([(x, first) for first, xs in alike.items() for x in xs], "item string, first string")
+    of = alike.select(F.explode("of").alias("item"), "first")
     key = found.select("*", F.explode("antecedent").alias("item")).join(of.join(alone, "first"), "item")
     # the rarest token of each rule is its entry in the index
     entry = key.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min(F.struct("freq", "item"))["item"].alias("entry"))
