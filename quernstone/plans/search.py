@@ -12,11 +12,20 @@ from pyspark.sql import functions as F
 from ..operators import aggregations as A
 from ..operators import retrieval as R
 from ..operators import text as T
+from ..schema import QUERY_PREFIX
 from .parser import Expand, ParsedQuery, parse
 
 RECORD_FIELDS = ["key", "created", "category", "descriptor", "borough", "board", "agency", "status", "domain", "agencies"]
 
 
+FIELDS = {"full_text": 2.0, "category": 1.0, "descriptor": 1.0}
+
+
+def asks(encoder: Callable[[list[str]], list[list[float]]], prefix: str = QUERY_PREFIX) -> Callable[[str, bool], list[float]]:
+    """A batch encoder as the service calls it: one text, with the prefix in front of a question."""
+    return lambda text, is_query: [float(x) for x in encoder([prefix + text if is_query else text])[0]]
+
+
 def vector_column(v: list[float]):
     return F.array(*[F.lit(float(x)) for x in v])
 
@@ -32,7 +41,7 @@ class Engine:
     def hybrid(self, topic: str, vector: list[float], scoped: DataFrame, size: int = 10) -> DataFrame:
         """Representatives of the fused and reranked patterns. Filters apply to the lexical leg and to the records, not to the vector leg."""
         present = scoped.select("pattern").distinct()
-        scores = T.bm25(self.tokens, T.english_tokens(topic), {"full_text": 2.0, "category": 1.0, "descriptor": 1.0})
+        scores = T.bm25(self.tokens, T.english_tokens(topic), FIELDS)
         lexical = R.ranked(scores.join(present, "pattern", "left_semi"), R.LEXICAL_DEPTH)
         near = R.nearest(self.patterns, vector_column(vector), R.VECTOR_DEPTH)
         fused = R.consensus(R.fuse(lexical, near), self.patterns)

@@ -20,6 +20,8 @@ RENAMED_FIELDS = {
     "open_data_channel_type": "channel_type",
     "taxi_pick_up_location": "taxi_pickup_location",
 }
+# Fixed value: what the encoding model expects in front of a question, and never in front of a document.
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 # The controlled vocabularies.
 DOMAINS = ["drainage", "water_supply", "sanitation", "street_infrastructure", "other"]
 FAILURE_MODES = ["blockage", "overflow", "structural_damage", "odor", "debris", "service_gap"]

@@ -32,6 +32,15 @@ def read_current(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(path) if path else None
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> str:
+    """One small file, on any file system that Hadoop knows."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p(path), True)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
 def _replace(spark: SparkSession, fs, source, target) -> None:
     """Rename over what is there in one step, so that a reader always finds a pointer."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

@@ -1,11 +1,12 @@
 """Hand-worked cases of the engine's operators."""
 
+import struct
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions.columns import any_timestamp, pattern_text, unit
+from quernstone.functions.columns import any_timestamp, float_vector, pattern_text, unit
 from quernstone.operators import aggregations as A
 from quernstone.operators import facets as FA
 from quernstone.operators import ingest as I
@@ -15,8 +16,8 @@ from quernstone.operators import text as T
 from quernstone.plans import evaluate as E
 from quernstone.plans.parser import parse
 from quernstone.plans.queries import QUERIES
-from quernstone.plans.search import Engine
-from quernstone.schema import FACETS, STAGING, STAGING_COLUMNS
+from quernstone.plans.search import Engine, asks
+from quernstone.schema import FACETS, QUERY_PREFIX, STAGING, STAGING_COLUMNS
 from quernstone.sources.publish import CountError, publish, read_current
 from quernstone.sources.readers import HeaderError, read_export, stage_fields
 from quernstone.streaming.incremental import drain, staged_stream
@@ -190,6 +191,31 @@ def test_unit_and_record_facets(spark):
     assert {(r.unique_key, r.problem_domain) for r in P.record_facets(records, facet_rows(spark)).collect()} == {(1, "drainage"), (2, "drainage")}
 
 
+def test_packed_vectors(spark):
+    rows = [(bytearray(struct.pack("<3f", 1.5, -2.0, 0.25)),), (None,), (bytearray(),)]
+    assert [r[0] for r in spark.createDataFrame(rows, "v binary").select(float_vector(F.col("v"))).collect()] == [[1.5, -2.0, 0.25], None, []]
+
+
+def test_top_lists_in_blocks(spark):
+    queries = spark.createDataFrame([(i, [float(i % 5), float(7 - i)]) for i in range(11)], "query_id long, vector array<double>")
+    patterns = spark.createDataFrame([(f"p{i}", [float(i % 4), float(i % 3)]) for i in range(9)], "pattern string, embedding array<double>")
+    whole, dealt = (sorted(map(tuple, E.top_lists(queries, patterns, 3, block).collect())) for block in (4096, 2))
+    assert whole == dealt and len(whole) == 33
+
+
+def test_collapsed(spark):
+    rows = spark.createDataFrame([(1, "a", 0.9), (2, "a", 0.9), (3, "b", 0.8), (4, "c", 0.7), (5, "d", 0.6)], "key long, descriptor string, sim double")
+    assert [(r.rank, r.key) for r in R.collapsed(rows, "descriptor", k=4, size=2).orderBy("rank").collect()] == [(1, 1), (2, 3)]
+    assert R.collapsed(rows, "descriptor", k=4).count() == 3
+
+
+def test_question_prefix():
+    seen = []
+    one = asks(lambda texts: [seen.extend(texts) or [1, 0]])
+    assert one("rats", True) == [1.0, 0.0] and one("rats", False) == [1.0, 0.0]
+    assert seen == [QUERY_PREFIX + "rats", "rats"]
+
+
 def test_report(tmp_path):
     assert E.percentile([1.0, 2.0, 3.0, 4.0], 0.5) == 2.0 and E.percentile([7.0], 0.95) == 7.0
     path = E.write_report(str(tmp_path), [{"query_id": "q1", "recall": 0.9}, {"query_id": "q2", "recall": 1.0}])

@@ -1,5 +1,6 @@
 """The batch jobs, from an export to an answered question."""
 
+import csv
 import json
 import sys
 import types
@@ -70,6 +71,31 @@ def test_jobs_end_to_end(spark, tmp_path, monkeypatch):
     answer = Engine(spark, serving, patterns, lambda text, query: [1.0, 0.0]).search("Top 10 districts for basin clogging citywide?", today=date(2026, 7, 1))
     assert answer["aggregation"]["total"] == 6 and answer["results"]
 
+    fixes = tmp_path / "fixes.json"
+    fixes.write_text(json.dumps({"embed_text": "Sewer. Basin Clogged", "failure_mode": "structural_damage", "agencies_involved": ["DEP"], "rationale": "by hand", "prompt_version": "v1.1"}))
+    run("override", str(fixes))
+    run("enrich", "job_helpers:sorter", "--model", "m", "--version", "v2")  # a later run keeps them
+    fixed = {r.embed_text: (r.failure_mode, r.agencies_involved, r.prompt_version) for r in read_current(spark, f"{home}/facets").collect()}
+    assert fixed["Sewer. Basin Clogged"] == ("structural_damage", ["DEP"], "v1.1") and fixed["Noise. Odd"][0] is None
+    fixes.write_text(fixes.read_text() + "\n" + fixes.read_text())
+    with pytest.raises(DuplicateKeyError):
+        run("override", str(fixes))
+
+    (tmp_path / "asked.csv").write_text("query_id,query\nq1,basin clogging\nq2,\"odd, loud noise\"\n")
+    run("pool", str(tmp_path / "asked.csv"), f"file://{tmp_path}/labels", "job_helpers:plain")
+    sheet = (tmp_path / "labels" / "sheet.csv").read_bytes()
+    assert sheet.startswith(b"\xef\xbb\xbfquery_id,query,pattern,label") and sheet.count(b'"odd, loud noise"') == 2
+    sources = {tuple(row) for row in csv.reader(open(tmp_path / "labels" / "sources.csv"))}
+    assert {("q1", "Sewer. Basin Clogged"), ("q1", "Noise. Odd"), ("q2", "Sewer. Basin Clogged"), ("q2", "Noise. Odd")} == {s[:2] for s in sources} - {("query_id", "pattern")}
+    assert ("q1", "Sewer. Basin Clogged", "bm25+hybrid+knn") in sources
+    golden = tmp_path / "golden.csv"
+    golden.write_bytes(sheet.replace(b"Sewer. Basin Clogged,", b"Sewer. Basin Clogged, 1 "))
+    run("evaluate", str(tmp_path / "asked.csv"), f"file://{tmp_path}/report", "job_helpers:plain", "--model", "m", "--labels", str(golden))
+    (report,) = (tmp_path / "report").glob("eval_*.json")
+    found = json.loads(report.read_text())
+    assert [r["recall"] for r in found["recall"]] == [0.2, 0.2]  # both patterns there are, of the ten asked for
+    assert [(r["query_id"], r["precision"], r["unjudged"]) for r in found["precision"]] == [("q1", 0.1, 1), ("q2", 0.1, 1)] and len(found["took_ms"]) == 2
+
     run("load-export", export(tmp_path / "two.csv", [line(unique_key=20, created_date="2025-04-01", complaint_type="New")]))
     with pytest.raises(CountError):  # its text has no vector yet: what was published stays
         run("build", "--model", "m")
