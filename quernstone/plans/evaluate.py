@@ -20,7 +20,7 @@ K, RECALL_GATE, PRECISION_GATE, SEED = 10, 0.95, 0.8, 311
 BLOCK = 4096
 
 
-def _meet(queries: DataFrame, others: DataFrame, block: int = BLOCK) -> DataFrame:
+def meet(queries: DataFrame, others: DataFrame, block: int = BLOCK) -> DataFrame:
     """Each row of ``others`` with each query. Queries are counted and dealt by a hash of their id into blocks of about ``block`` rows, so that no broadcast grows with them."""
     n = max(1, -(-queries.count() // block))
     if n == 1:
@@ -31,7 +31,7 @@ def _meet(queries: DataFrame, others: DataFrame, block: int = BLOCK) -> DataFram
 
 def top_lists(queries: DataFrame, patterns: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """(query_id, pattern, rank): each query's k nearest patterns. Each pattern row meets all queries, a block of them at a time."""
-    pairs = _meet(queries.select("query_id", "vector"), patterns.select("pattern", "embedding"), block)
+    pairs = meet(queries.select("query_id", "vector"), patterns.select("pattern", "embedding"), block)
     line = W.partitionBy("query_id").orderBy(F.desc("sim"), "pattern")
     return pairs.withColumn("sim", dot(F.col("embedding"), F.col("vector"))).withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", "pattern", "rank")
 
@@ -77,7 +77,7 @@ def pool(legs: dict[str, DataFrame], universe: DataFrame, queries: DataFrame, ex
     for name, leg in legs.items():
         one = leg.select("query_id", "pattern", F.lit(name).alias("src"))
         rows = one if rows is None else rows.unionByName(one)
-    others = _meet(queries.select("query_id"), universe.select("pattern")).join(rows.select("query_id", "pattern"), ["query_id", "pattern"], "left_anti")
+    others = meet(queries.select("query_id"), universe.select("pattern")).join(rows.select("query_id", "pattern"), ["query_id", "pattern"], "left_anti")
     draw = lambda salt: F.xxhash64("query_id", "pattern", F.lit(seed + salt))
     line = W.partitionBy("query_id")
     others = others.withColumn("r", F.row_number().over(line.orderBy(draw(0), "pattern"))).where(F.col("r") <= extra).select("query_id", "pattern", F.lit("random").alias("src"))

@@ -366,7 +366,7 @@ def served_recall_at_10(spark, d):
 SELECT query_id, round(sum(coalesce(label, 0)) / 10, 4) AS precision, count(*) AS served, sum(CASE WHEN label IS NULL THEN 1 ELSE 0 END)::BIGINT AS unjudged FROM tops LEFT JOIN lab USING (query_id, pattern) WHERE rank <= 10 GROUP BY query_id""")
 def precision_at_10(spark, d):
     q, p = _eval_queries(spark, d), X.patterns(spark, d)
-    labels = p.where("category <> 'LARGE'").join(F.broadcast(q.select("query_id"))).select("query_id", "pattern", F.when(F.col("category") == "PROMO", " 1").otherwise("0 ").alias("label"))
+    labels = E.meet(q.select("query_id"), p.where("category <> 'LARGE'")).select("query_id", "pattern", F.when(F.col("category") == "PROMO", " 1").otherwise("0 ").alias("label"))
     return E.precision(E.top_lists(q, p), E.read_labels(labels))
 
 
