@@ -213,6 +213,7 @@ def means(c: Chains, post: np.ndarray, rows: int) -> np.ndarray:
 
 
 _GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+_SHARES = 16
 
 
 def _smallest(rows: DataFrame, id_col: str, sample: int) -> list:
@@ -221,7 +222,10 @@ def _smallest(rows: DataFrame, id_col: str, sample: int) -> list:
     h = F.xxhash64(F.col(id_col).cast("string"))
     ranked = rows.select(F.col(id_col).alias("id"), "lang", F.octet_length("text").alias("size"), h.alias("h"))
     order = ["h", "id", "size"]
-    ranked = ranked.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("turn") <= sample)
+    # first within _SHARES runs of tasks, so that a frequent language's last task reads at most _SHARES * sample rows, however many tasks there are
+    ranked = ranked.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(_SHARES)))
+    for groups in (["lang", "share"], ["lang"]):
+        ranked = ranked.withColumn("turn", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("turn") <= sample)
     before = spark.conf.get(_GROUP_LIMIT)
     spark.conf.set(_GROUP_LIMIT, str(max(sample, int(before))))  # each task then passes on its first ``sample`` rows of a language only
     try:
